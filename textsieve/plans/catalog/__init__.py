@@ -6,7 +6,9 @@ import importlib
 
 from .registry import CATALOG, Query
 
-_MODULES = ["text_queries"]
+_MODULES = [
+    "text_queries", "filter_queries", "join_queries", "aggregate_queries", "window_queries", "set_queries",
+]
 
 
 def all_queries() -> dict[str, Query]:

@@ -29,7 +29,7 @@ def normalize_label(spark, d):
         FROM (SELECT doc_id, {q.clean("'  ' || chr(65279) || text")} AS t FROM documents)""",
 )
 def clean_text(spark, d):
-    marked = F.concat(F.lit("  ﻿"), "text")
+    marked = F.concat(F.lit("  \ufeff"), "text")
     docs = documents(spark, d, "doc_id", "text").select("doc_id", tx.clean_text(marked).alias("t"))
     return docs.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
