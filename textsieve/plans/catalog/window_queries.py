@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ...functions import text as tx
-from ...functions.ngrams import char_ngrams, word_tokens
+from ...functions.ngrams import word_tokens
 from ...operators import groups as gr
 from ...operators import splits
 from ...operators.ranking import carry_forward, hash_key, sequential_id, take_seeded
-from ...sources.tables import documents, labelled, labels, published, table
+from ...sources.tables import documents, labelled, labels, table
 from . import sql_parts as q
 from .registry import query
 
@@ -42,15 +42,16 @@ def group_distinct_count(spark, d):
     return gr.with_group_facts(rows, ["conv_id"], n_roles=F.count_distinct("role")).drop("role")
 
 
-_DATED = f"""{q.CORPUS}, dated AS (SELECT c.doc_id, c.source, c.label, CASE WHEN c.doc_id % 10 = 3 THEN NULL ELSE e.ts END AS ts
+_DATED = f"""{q.CORPUS}, dated AS (SELECT c.doc_id, c.source, c.label, CASE WHEN e.event_type <> 'error' THEN e.ts END AS ts
     FROM corpus c LEFT JOIN events e ON e.event_id = c.doc_id)"""
 
 
 def dated(spark, d):
-    """Corpus keys with a publication time; every tenth document has none, so nulls are exercised."""
+    """Corpus keys with a publication time; error events carry none, so nulls are exercised."""
     rows = table(spark, d, "documents", "doc_id", "source").join(labels(spark, d), "doc_id")
-    rows = rows.join(published(spark, d), "doc_id", "left")
-    return rows.withColumn("ts", F.when(F.col("doc_id") % 10 != 3, F.col("ts")))
+    events = table(spark, d, "events", "event_id", "event_type", "ts")
+    times = events.where(F.col("event_type") != "error").select(F.col("event_id").alias("doc_id"), "ts")
+    return rows.join(times, "doc_id", "left")
 
 
 @query(
