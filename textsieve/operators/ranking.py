@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -101,32 +100,32 @@ def keep_first(df: DataFrame, key: Column, identity: str) -> DataFrame:
     return df.join(first, identity, "left_semi")
 
 
-def ordered_chunks(df: DataFrame, key: str, chunk: str = "_chunk", chunks: int = 256) -> DataFrame:
-    """Number contiguous ranges of a numeric key; range borders are a bounded summary of quantiles."""
-    steps = [i / chunks for i in range(1, chunks)]
-    cuts = df.select(F.col(key).cast("double").alias("_v")).approxQuantile("_v", steps, 0.001)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    valued = df.withColumn("_v", F.col(key).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol=chunk).transform(valued).drop("_v")
+def running_sum(df: DataFrame, key: str, value: str, out: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Sum of ``value`` over the rows of the group with a key at most this one.
 
-
-def running_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over all rows with a key at most this one, as a two-level prefix sum.
-
-    Equal keys always share a chunk. The only window without a partition sees one row per chunk.
+    A two-level prefix sum. Rows fall into buckets that follow the key: linear steps, refined on a
+    log scale towards both ends so that outliers do not squeeze the rest into one bucket. Only a
+    bucket is sorted in one task; the running total over buckets sees one row per bucket.
     """
-    chunked = ordered_chunks(df, key)
-    totals = chunked.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
-    offsets = totals.select(
-        "_chunk", (F.sum("_sum").over(W.orderBy("_chunk")) - F.col("_sum")).alias("_offset")
+    groups = list(groups) or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)) if groups == ["_all"] else df
+    ends = rows.groupBy(*groups).agg(
+        F.min(F.col(key).cast("double")).alias("_lo"), F.max(F.col(key).cast("double")).alias("_hi")
     )
-    inside = F.sum(value).over(W.partitionBy("_chunk").orderBy(key))
-    return (
-        chunked.withColumn("_inside", inside)
-        .join(offsets, "_chunk")
-        .withColumn(out, F.col("_inside") + F.col("_offset"))
-        .drop("_chunk", "_inside", "_offset")
+    low, high = F.col(key).cast("double") - F.col("_lo"), F.col("_hi") - F.col(key).cast("double")
+    span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
+    steps = F.struct(
+        F.floor(low / span * BUCKETS).alias("a"),
+        F.floor(F.log(F.lit(1e-12) + low / span) * 64).alias("b"),
+        F.floor(-F.log(F.lit(1e-12) + high / span) * 64).alias("c"),
     )
+    placed = rows.join(ends, groups).withColumn("_bucket", steps)
+    totals = placed.groupBy(*groups, "_bucket").agg(F.sum(value).alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy(*groups).orderBy("_bucket")) - F.col("_sum")
+    offsets = totals.select(*groups, "_bucket", before.alias("_offset"))
+    inside = F.sum(value).over(W.partitionBy(*groups, "_bucket").orderBy(key))
+    summed = placed.withColumn("_inside", inside).join(offsets, [*groups, "_bucket"])
+    return summed.select(*df.columns, (F.col("_inside") + F.col("_offset")).alias(out))
 
 
 def sequential_id(df: DataFrame, key: str, out: str = "id") -> DataFrame:

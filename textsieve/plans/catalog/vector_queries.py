@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import masking as mk
 from ...functions import ngrams as ng
-from ...functions import numbers as nb
-from ...functions import fixed_values as fx
 from ...functions import text as tx
-from ...operators import neardup, results
+from ...operators import neardup
 from ...operators import scaling as sc
 from ...operators import tfidf as tf
-from ...operators.numeric import NumberRates
-from ...sources.tables import documents, labelled, table
+from ...sources.tables import documents, table
 from . import sql_parts as q
 from .registry import query
 from .window_queries import LOG_ODDS_SQL, log_odds
