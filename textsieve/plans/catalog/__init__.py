@@ -8,7 +8,7 @@ from .registry import CATALOG, Query
 
 _MODULES = [
     "text_queries", "filter_queries", "join_queries", "aggregate_queries", "window_queries", "set_queries",
-    "vector_queries", "number_queries", "evaluation_queries",
+    "vector_queries", "number_queries", "evaluation_queries", "source_queries", "page_queries", "model_queries",
 ]
 
 
