@@ -92,7 +92,9 @@ def style_ratios(tokens, text) -> Column:
 
     def ratios(ts: Column) -> Column:
         base = F.greatest(F.size(F.filter(ts, lambda t: t["is_alpha"])), F.lit(1))
+        return let(base, lambda b: over(ts, b))
 
+    def over(ts: Column, base: Column) -> Column:
         def pct(test) -> Column:
             return F.size(F.filter(ts, test)) / base * 100
 

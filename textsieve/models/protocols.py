@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_words, score_to_label, word_count
@@ -28,8 +28,9 @@ PARALLEL_FITS = 8
 def in_parallel(jobs: Iterable[Callable[[], object]], width: int = PARALLEL_FITS) -> list:
     """Independent fits submitted together; each one is itself a distributed job."""
     jobs = list(jobs)
+    run = inheritable_thread_target(SparkSession.getActiveSession())(lambda job: job())
     with ThreadPool(min(width, max(len(jobs), 1))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(run, jobs)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -187,7 +188,7 @@ def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_
         spec = Spec((block,), balanced=False, max_iter=max_iter)
         ready, total = tr.prepared(train_rows, spec.balanced)
         vectorizer = Pipeline(stages=spec.stages()).fit(ready)
-        learned = tr.learning_rows(vectorizer.transform(ready), total).persist()
+        learned = tr.learning_rows(vectorizer.transform(ready), total, spec).persist()
         seen = vectorizer.transform(test_rows).select("label", "features")
         parts = []
         for name, c in points:

@@ -21,9 +21,8 @@ from .stages import GramTokenizer
 
 PRODUCT_WORDS = 50
 MIXED_LENGTHS = (30, 50, 100)
-# Rows of a small training set per partition of the gradient steps.
-ROWS_PER_STEP = 20_000
-SMALL_ROWS = 100_000
+# A small training set takes its gradient steps in one partition, wide rows in four.
+SMALL_ROWS = 20_000
 
 
 def prepared(rows: DataFrame, balanced: bool, label: str = "label") -> tuple[DataFrame, float]:
@@ -56,17 +55,20 @@ def train(rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", l
     ready = ready.persist()
     try:
         features = Pipeline(stages=spec.stages(text)).fit(ready)
-        learned = learning_rows(features.transform(ready), total)
+        learned = learning_rows(features.transform(ready), total, spec)
         return PipelineModel([*features.stages, classifier(spec, total).fit(learned)])
     finally:
         ready.unpersist()
 
 
-def learning_rows(df: DataFrame, n: float) -> DataFrame:
+def learning_rows(df: DataFrame, n: float, spec: Spec) -> DataFrame:
     """Columns of the classifier. Gradient steps of a small set are bound by job latency, so its rows
     are gathered in few partitions after vectorising; a large one keeps its partitioning."""
     rows = df.select("features", "_y", "_w")
-    return rows.repartition(1 + int(n) // ROWS_PER_STEP) if n < SMALL_ROWS else rows
+    if n >= SMALL_ROWS:
+        return rows
+    wide = any(getattr(b, "analyzer", "") == "char_wb" for b in spec.blocks)
+    return rows.repartition(4 if wide and n >= 4_000 else 1)
 
 
 def score(model: PipelineModel, rows: DataFrame, text: str = "text", words: int | None = PRODUCT_WORDS) -> DataFrame:

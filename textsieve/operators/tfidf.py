@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.ngrams import run_lengths
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 HOT_TERMS = 20_000
 SLACK = 1e-9
@@ -116,6 +116,8 @@ def near_copies(
     Document frequencies come from rows and references, or from the references alone. References
     are the small side: their leading terms are broadcast when a count shows they are small, rows
     that share none of them are never compared, and only rows with a candidate get full vectors.
+    The vocabulary, the reference vectors and the candidate pairs are each written once, so the
+    rows are read three times in all: frequencies, candidates, vectors of candidates.
     """
     row_counts = term_counts(rows, identity, row_terms)
     ref_counts = term_counts(references, reference_id, reference_terms)
@@ -124,10 +126,11 @@ def near_copies(
         terms = with_idf(vocabulary(both), row_total(rows) + row_total(references))
     else:
         terms = with_idf(vocabulary(ref_counts), row_total(references))
-    ref_vectors = tfidf(ref_counts, reference_id, terms)
+    terms = cut_lineage(terms)
+    ref_vectors = cut_lineage(tfidf(ref_counts, reference_id, terms))
     lead = leading_terms(ref_vectors, reference_id, threshold).select("term", reference_id)
     pairs = row_counts.select(identity, "term").join(broadcast_if_small(lead), "term")
-    pairs = pairs.select(identity, reference_id).distinct()
+    pairs = cut_lineage(pairs.select(identity, reference_id).distinct())
     chosen = rows.join(pairs.select(identity).distinct(), identity, "left_semi")
     vectors = tfidf(term_counts(chosen, identity, row_terms), identity, terms)
     scored = cosine_of_pairs(pairs, vectors, ref_vectors, identity, reference_id)
