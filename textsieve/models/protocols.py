@@ -28,7 +28,8 @@ PARALLEL_FITS = 8
 def in_parallel(jobs: Iterable[Callable[[], object]], width: int = PARALLEL_FITS) -> list:
     """Independent fits submitted together; each one is itself a distributed job."""
     jobs = list(jobs)
-    run = inheritable_thread_target(SparkSession.getActiveSession())(lambda job: job())
+    session = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    run = inheritable_thread_target(session)(lambda job: job())
     with ThreadPool(min(width, max(len(jobs), 1))) as pool:
         return pool.map(run, jobs)
 
@@ -150,11 +151,14 @@ def hybrid(train_rows: DataFrame, test_rows: DataFrame, specs: Sequence[Spec], i
     """
     folded = with_folds(train_rows, group, "label", k).persist()
     names = [f"s{i}" for i in range(len(specs))]
-    oof, test = None, None
-    for name, spec in zip(names, specs):
+
+    def one(name: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
         part = out_of_fold(folded, spec, identity, k).select(identity, "label", F.col("score").alias(name))
-        model = tr.train(train_rows, spec, mixed=False)
-        seen = tr.score(model, test_rows, words=None).select(identity, "label", F.col("score").alias(name))
+        seen = tr.score(tr.train(train_rows, spec, mixed=False), test_rows, words=None)
+        return part, seen.select(identity, "label", F.col("score").alias(name))
+
+    oof, test = None, None
+    for part, seen in in_parallel(lambda n=n, s=s: one(n, s) for n, s in zip(names, specs)):
         oof = part if oof is None else oof.join(part.drop("label"), identity)
         test = seen if test is None else test.join(seen.drop("label"), identity)
     oof = oof.persist()

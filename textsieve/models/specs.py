@@ -83,7 +83,7 @@ CHARS = TextBlock("char_wb", 2, 5, 200_000, sublinear=True)
 PLAIN = Spec(balanced=False)
 BASE = Spec()
 CHOSEN = Spec((CHARS,))
-SIZE_ONLY = Spec((Columns(),), balanced=False)
+SIZE_ONLY = Spec((Columns(),), balanced=False, max_iter=10)
 
 
 def text_variants() -> dict[str, Spec]:
