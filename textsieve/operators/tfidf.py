@@ -84,11 +84,16 @@ def leading_terms(vectors: DataFrame, identity: str, threshold: float) -> DataFr
     """The rare end of every unit vector.
 
     Terms are ordered from rare to frequent. What follows the leading terms has a length below
-    the threshold, so a pair that shares none of them cannot reach it.
+    the threshold, so a pair that shares none of them cannot reach it. ``after`` is the length of
+    what follows the term, ``rest`` that of what follows all leading terms.
     """
-    order = W.partitionBy(identity).orderBy("df", "term").rowsBetween(W.currentRow, W.unboundedFollowing)
-    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
-    return vectors.withColumn("_tail", tail).where(F.col("_tail") >= threshold - SLACK).drop("_tail")
+    by_row = W.partitionBy(identity)
+    order = by_row.orderBy("df", "term").rowsBetween(W.currentRow, W.unboundedFollowing)
+    square = F.col("weight") * F.col("weight")
+    tail = F.sqrt(F.sum(square).over(order))
+    kept = vectors.withColumn("_tail", tail).where(F.col("_tail") >= threshold - SLACK)
+    after = F.sqrt(F.greatest(F.col("_tail") * F.col("_tail") - square, F.lit(0.0)))
+    return kept.withColumn("after", after).withColumn("rest", F.min("after").over(by_row)).drop("_tail")
 
 
 def cosine_of_pairs(
