@@ -199,3 +199,9 @@ def test_line_files(spark, tmp_path):
     assert [r.value for r in files.read_lines(spark, str(path)).collect()] == ["texto a", "texto b", "texto c"]
     got = files.captioned(files.numbered_lines(spark, str(path))).collect()
     assert {(r.caption, r.text) for r in got} == {("dois", "texto a"), ("dois", "texto b"), ("tres", "texto c")}
+
+
+def test_one_timestamp_for_a_whole_group(spark):
+    df = spark.range(0, 100).withColumns({"g": F.lit("a"), "ts": F.timestamp_seconds(F.lit(0))})
+    got = splits.recency_split(df, "g", "ts", "id").where("split = 'val'").collect()
+    assert sorted(r.id for r in got) == list(range(30))

@@ -53,8 +53,11 @@ def mark_first(
         span = F.col(hi).cast("double") - F.col(lo) + 1.0
         return F.floor((F.col(value).cast("double") - F.col(lo)) / span * buckets)
 
-    bucket = F.when(F.col("_key").isNull(), buckets + position(tie, "_tie_lo", "_tie_hi")).otherwise(
-        position("_key", "_lo", "_hi")
+    # Rows without a key come after all others; where every key is the same, the tie decides alone.
+    bucket = (
+        F.when(F.col("_key").isNull(), buckets + position(tie, "_tie_lo", "_tie_hi"))
+        .when(F.col("_lo") == F.col("_hi"), position(tie, "_tie_lo", "_tie_hi"))
+        .otherwise(position("_key", "_lo", "_hi"))
     )
     placed = rows.join(per_group, groups, "left").withColumn("_bucket", bucket)
     filled = placed.groupBy(*groups, "_bucket").agg(

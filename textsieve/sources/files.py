@@ -60,11 +60,12 @@ def captioned(lines: DataFrame, position: str = "line_no", file: str = "file") -
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and an increasing position inside it."""
+    """Lines with their file and a position that increases along the file.
+
+    Splits of a file start at least a megabyte apart; inside a split lines keep their order.
+    """
+    megabyte = F.floor(F.col("_metadata.file_block_start") / 2**20)
+    inside = F.monotonically_increasing_id() % F.lit(2**33)
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        (F.col("_metadata.file_block_start") * F.lit(2**20) + F.monotonically_increasing_id() % F.lit(2**33)).alias(
-            "line_no"
-        ),
-        "value",
+        F.col("_metadata.file_path").alias("file"), (megabyte * F.lit(2**33) + inside).alias("line_no"), "value"
     )
