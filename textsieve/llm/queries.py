@@ -7,8 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_codec, token_counts
-from .tables import read
+from . import language_id, quality_model, sentencepiece_codec, token_counts
+from .tables import crc_class, read
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a quarter of the ids is held out of learning."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    labels = read(spark, sf_dir, "labels", "doc_id", "quality").where(crc_class("doc_id", 4) != 2)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    return scored.select("doc_id", (crc_class("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the ids is held out of learning."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    dictionaries = language_id.learn(docs.where(crc_class("doc_id", 3) != 1))
+    found = language_id.predict(docs, dictionaries)
+    return found.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +38,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_classifier": op4_quality_classifier,
+    "op8_language_id": op8_language_id,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_token_counts": op10_token_counts,
 }
