@@ -2,7 +2,7 @@
 
 For every language a zstandard raw-content dictionary is cut from sample texts. A text is compressed, in
 blocks of ``BLOCK`` bytes so that the dictionary and not the text itself explains each block, once with each
-dictionary; the language with the fewest bytes in all is chosen. Code lengths are likelihoods: ``score`` is
+dictionary; the language with the fewest bytes in all is chosen. Case is ignored. Code lengths are likelihoods: ``score`` is
 the chosen language's share of ``2 ** -bits``. A choice is ``rejected`` when the second-best language needs
 less than ``min_margin`` more bytes (a share of the best).
 
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 UNKNOWN = "und"
-BLOCK = 8192
-LEVEL = 3
+BLOCK = 16_384
+#: Short matches and a lazy search: on a few hundred bytes the faster levels hardly use the dictionary.
+MATCHING = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY}
 _LETTER = regex.compile(r"\p{L}")
 _READY: dict[str, tuple[list[str], list[zstandard.ZstdCompressor]]] = {}
 
@@ -45,7 +46,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
     few = rows.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))).where(F.col("n") <= rows_per_language)
     # every chosen text gives an equal part, from its start
-    part = F.encode(F.substring("text", 1, max(64, 2 * dictionary_bytes // rows_per_language)), "utf-8")
+    part = F.encode(F.substring(F.lower("text"), 1, max(64, 2 * dictionary_bytes // rows_per_language)), "utf-8")
     out: dict[str, bytes] = {}
     for row in few.select("lang", part.alias("part")).orderBy("lang", "n").toLocalIterator():
         have = out.get(row["lang"], b"")
@@ -56,11 +57,12 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", language: st
 
 def _compressors(dictionaries: dict[str, bytes]) -> tuple[list[str], list[zstandard.ZstdCompressor]]:
     names = sorted(dictionaries)
+    how = zstandard.ZstdCompressionParameters(**MATCHING, write_content_size=False, write_checksum=False)
     tools = []
     for name in names:
         content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(level=LEVEL)
-        tools.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False))
+        content.precompute_compress(compression_params=how)
+        tools.append(zstandard.ZstdCompressor(dict_data=content, compression_params=how))
     return names, tools
 
 
@@ -74,7 +76,7 @@ def classify(text: str | None, names: list[str], tools: list[zstandard.ZstdCompr
     """Language, score and margin."""
     if not text or not names or not _LETTER.search(text):
         return UNKNOWN, 0.0, 0.0
-    found = sizes(text.encode("utf-8", "replace"), tools)
+    found = sizes(text.lower().encode("utf-8", "replace"), tools)
     order = np.argsort(found, kind="stable")
     best = int(found[order[0]])
     margin = 1.0 if len(names) == 1 else float(found[order[1]] - best) / best

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_model, sentencepiece_codec, token_counts
+from . import language_id, quality_model, sentencepiece_codec, token_counts, warc
 from .tables import crc_class, read
 
 
@@ -32,6 +32,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as written to, and read back from, deduplicated archives."""
+    _, records = warc.deduplicate(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, encoded as a whole."""
     return token_counts.count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -41,7 +47,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op8_language_id": op8_language_id,
     "op7_sentencepiece": op7_sentencepiece,
+    "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+#: SHA-1 in base32: 40 hexadecimal digits as bits, five bits a character.
+WARC_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
+), q AS (
+    SELECT page_id, strlen(body) AS payload_bytes,
+        array_to_string(list_transform(range(1, 41), i -> ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111',
+            '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS bits
+    FROM p
+), r AS (
+    SELECT page_id, payload_bytes,
+        array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
+              + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest
+    FROM q
+), s AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS lead FROM r
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM s
+"""
+
+SQL: dict[str, str] = {"op9_warc": WARC_SQL}
