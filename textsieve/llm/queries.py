@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_model, sentencepiece_codec, token_counts, warc
+from . import language_id, line_frequency, quality_model, sentencepiece_codec, token_counts, warc
 from .tables import crc_class, read
 
 
@@ -27,6 +27,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; ``source`` is the host."""
+    return line_frequency.judge(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and whether decoding gives the text back."""
     return sentencepiece_codec.encode(read(spark, sf_dir, "documents", "doc_id", "text"))
@@ -46,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op8_language_id": op8_language_id,
+    "op6_line_frequency": op6_line_frequency,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
@@ -57,12 +63,12 @@ WITH p AS (
     SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages
 ), q AS (
     SELECT page_id, strlen(body) AS payload_bytes,
-        array_to_string(list_transform(range(1, 41), i -> ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111',
+        array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111',
             '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS bits
     FROM p
 ), r AS (
     SELECT page_id, payload_bytes,
-        array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
             1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT
               + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT, 1)), '') AS payload_digest
     FROM q
@@ -74,4 +80,39 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = lead THEN 're
 FROM s
 """
 
-SQL: dict[str, str] = {"op9_warc": WARC_SQL}
+LINE_FREQUENCY_SQL = r"""
+WITH d AS (
+    SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents
+), w AS (
+    SELECT *, trim(text, E' \t\n\x0b\f\r') AS inner_text FROM d
+), t AS (
+    SELECT *, CASE WHEN inner_text = '' THEN [] ELSE string_split_regex(inner_text, '[\x20\x09-\x0D]+') END AS words,
+        list_filter(string_split(text, E'\n'), lambda x: trim(x, E' \t\n\x0b\f\r') <> '') AS lines
+    FROM w
+), windows AS (
+    SELECT r, i, list_slice(words, i, i + 7) AS win FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM t WHERE len(words) >= 8)
+), twice AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM windows) WHERE n > 1
+), covered AS (
+    SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY r
+), line AS (
+    SELECT r, source, text, regexp_replace(lower(trim(raw, E' \t\n\x0b\f\r')), '[0-9]+', '0', 'g') AS line,
+        len(string_split_regex(trim(raw, E' \t\n\x0b\f\r'), '[\x20\x09-\x0D]+')) AS words
+    FROM (SELECT r, source, text, unnest(lines) AS raw FROM t)
+), frequent AS (
+    SELECT source, line FROM line GROUP BY source, line HAVING count(DISTINCT text) > 20
+), removed AS (
+    SELECT r, sum(words)::BIGINT AS removed_words FROM line JOIN frequent ON line.line = frequent.line AND line.source IS NOT DISTINCT FROM frequent.source GROUP BY r
+), counts AS (
+    SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+        coalesce(removed_words, 0)::BIGINT AS removed_words
+    FROM t LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
+), failed AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts
+)
+SELECT *, NOT base_failed AND n_words - removed_words >= 20 AND 100 * (n_words - removed_words) >= 50 * n_words AS kept FROM failed
+"""
+
+SQL: dict[str, str] = {"op6_line_frequency": LINE_FREQUENCY_SQL, "op9_warc": WARC_SQL}
