@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_frequency, quality_model, sentencepiece_codec, token_counts, warc
+from . import html_layout, language_id, line_frequency, quality_model, sentencepiece_codec, spaced_seeds, token_counts, warc
 from .tables import crc_class, read
 
 
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_layout.extract(read(spark, sf_dir, "pages", "page_id", "html"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; a quarter of the ids is held out of learning."""
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
@@ -27,6 +32,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_class("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item, with the item: one row per contaminated pair."""
+    found = spaced_seeds.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.groupBy(F.col("key").alias("doc_id"), "item_id").agg(F.max("matched").alias("matched"))
+
+
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; ``source`` is the host."""
     return line_frequency.judge(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -49,8 +60,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_html_layout": op3_html_layout,
     "op4_quality_classifier": op4_quality_classifier,
     "op8_language_id": op8_language_id,
+    "op5_spaced_seeds": op5_spaced_seeds,
     "op6_line_frequency": op6_line_frequency,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_warc": op9_warc,
