@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_layout, language_id, line_frequency, quality_model, sentencepiece_codec, spaced_seeds, surrogates, token_counts, warc
+from . import html_layout, jaccard_join, language_id, line_frequency, quality_model, sentencepiece_codec, spaced_seeds, surrogates, token_counts, warc
 from .tables import crc_class, read
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard 0.9 over 3-word shingles."""
+    found = jaccard_join.classes(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 #: Production passes a key of its own; this one makes test results repeatable.
 SURROGATE_KEY = "textsieve surrogates"
 
@@ -70,6 +76,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_surrogates": op2_surrogates,
     "op3_html_layout": op3_html_layout,
     "op4_quality_classifier": op4_quality_classifier,

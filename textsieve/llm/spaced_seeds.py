@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .tables import kept
 from .words import mix, words
 
@@ -47,11 +48,6 @@ def seed_hashes(tokens: np.ndarray, mask: str, which: int) -> np.ndarray:
     return mix(value)
 
 
-def _bits(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    size = np.uint64(bits - 1)
-    return (hashes & size).astype(np.int64), ((hashes >> np.uint64(32)) & size).astype(np.int64)
-
-
 def item_tokens(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """``item``, ``tokens`` of every item with a token."""
     rows = items.select(items[f"`{item}`"].cast("long").alias("item"), items[f"`{text}`"].cast("string").alias("text"))
@@ -83,31 +79,20 @@ def item_seeds(items: DataFrame) -> DataFrame:
     return items.select("item", "tokens").mapInArrow(run, "hash bigint, item bigint, at bigint")
 
 
-def bloom_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bits set for two values of every hash; at most ``bits / 64`` rows reach the driver."""
-    size = bits - 1
-    places = F.explode(F.array(F.col("hash").bitwiseAND(F.lit(size)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(size))))
-    cells = seeds.select(places.alias("bit")).groupBy(F.shiftright("bit", 6).alias("cell"))
-    rows = cells.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("value")).toArrow()
-    table = np.zeros(bits // 64, dtype=np.int64)
-    table[rows["cell"].to_numpy()] = rows["value"].to_numpy()
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-
-
 def document_hits(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text: str = "text", around: int = OVERLAP) -> DataFrame:
     """Regions of documents with windows that pass the filter.
 
     ``row``, ``key``, ``region``, ``begin`` (token position), ``tokens`` and ``hits`` (hash, position in the document).
     """
-    bits = len(table)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    bits = len(table) * 8
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[f"`{key}`"].cast("long").alias("key"), docs[f"`{text}`"].cast("string").alias("text"))
     names = ["row", "key", "region", "begin", "tokens", "hits"]
     hit_type = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int64())]))
     longest = max(map(len, MASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(shared.value).astype(bool)
+        seen = bloom.opened(shared.value)
         for batch in batches:
             out: list[tuple] = []
             for found in words(batch.column(2)):
@@ -115,7 +100,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text:
                 at, hashes = [], []
                 for which, mask in enumerate(MASKS):
                     values = seed_hashes(found.hashes, mask, which)
-                    a, b = _bits(values, bits)
+                    a, b = bloom.places(values, bits)
                     k = np.flatnonzero(seen[a])
                     k = k[seen[b[k]]]
                     k = k[row_of[k] == row_of[k + len(mask) - 1]]
@@ -172,7 +157,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """
     tokens = kept(item_tokens(items, item, item_text), "items")
     seeds = kept(item_seeds(tokens), "seeds")
-    table = bloom_filter(seeds)
+    table = bloom.build(seeds, "hash", FILTER_BITS)
     regions = kept(document_hits(docs, table, key, text, overlap), "hits")
     hits = regions.select("row", "region", "begin", F.explode("hits").alias("x")).select("row", "region", "begin", F.col("x.hash").alias("hash"), F.col("x.at").alias("doc_at"))
     lines = hits.join(seeds, "hash").select("row", "region", "item", (F.col("doc_at") - F.col("begin") - F.col("at")).alias("shift")).distinct()

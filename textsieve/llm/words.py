@@ -147,11 +147,11 @@ def window_hashes(found: Words, width: int, short_as_one: bool) -> tuple[np.ndar
         ends = np.cumsum(sizes)
         extra = []
         for i in short:
-            value = np.uint64(width * 1_000_003 + int(counts[i]))[None] if False else np.array([width * 1_000_003 + int(counts[i])], dtype=np.uint64)
+            value = np.array([width * 1_000_003 + int(counts[i])], dtype=np.uint64)
             for k in range(int(counts[i])):
-                value = mix(value + hashes[offsets[i] + k] * _WORD_FACTORS[k % 3])
-            extra.append(value[0])
-        flat = np.insert(flat, ends[short], np.array(extra, dtype=np.uint64))
+                value = mix(value + hashes[offsets[i] + k : offsets[i] + k + 1] * _WORD_FACTORS[k % 3])
+            extra.append(value)
+        flat = np.insert(flat, ends[short], np.concatenate(extra))
         sizes = sizes.copy()
         sizes[short] = 1
     return sizes, flat
