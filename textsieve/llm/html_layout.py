@@ -53,13 +53,19 @@ IMPLIED = {
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
     "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
-    "td": (frozenset(["td", "th", "caption"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th", "caption"]), frozenset(["tr", "table"])),
-    "tr": (frozenset(["td", "th", "tr", "caption", "colgroup"]), frozenset(["table"])),
-    "tbody": (frozenset(["td", "th", "tr", "caption", "colgroup", "tbody", "thead", "tfoot"]), frozenset(["table"])),
     "body": (frozenset(["head"]), frozenset()),
 }
-IMPLIED["thead"] = IMPLIED["tfoot"] = IMPLIED["tbody"]
+#: Parts of a table: where each may stand. What is open within that place is closed first.
+SECTIONS = frozenset("tbody thead tfoot".split())
+PLACES = {
+    "td": SECTIONS | {"tr", "table"},
+    "th": SECTIONS | {"tr", "table"},
+    "tr": SECTIONS | {"table"},
+    **{tag: frozenset(["table"]) for tag in ("tbody", "thead", "tfoot", "caption", "colgroup", "col")},
+}
+TABLE_CONTEXT = SECTIONS | {"table", "tr", "colgroup"}
+ALLOWED_IN_TABLE = frozenset(PLACES) | {"script", "style", "template"}
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 SCOPE = frozenset("table td th caption html".split())
 HEAD_ONLY = frozenset("base link meta title style script template noscript head html".split())
 
@@ -92,15 +98,32 @@ def _close(stack: list[Node], tags: frozenset, stops: frozenset) -> None:
             return _close(stack, tags, stops)
 
 
+def _place(children: list, node: Node) -> int:
+    """Index of a child, which is among the last."""
+    for k in range(len(children) - 1, -1, -1):
+        if children[k] is node:
+            return k
+    return len(children)
+
+
 def build(page: str) -> tuple[Node, list[str]]:
     """Tree of a page under a root node, and the text of its style sheets."""
     root = Node("#root")
     stack, sheets, at = [root], [], 0
     opened: dict[str, int] = {}  # how often a tag was opened: end tags of others need no search
 
+    def put(child) -> None:
+        """Add a child; what may not stand in a table goes before the table."""
+        if stack[-1].tag in TABLE_CONTEXT and (child.tag not in ALLOWED_IN_TABLE if isinstance(child, Node) else not child.isspace()):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == "table":
+                    stack[k - 1].children.insert(_place(stack[k - 1].children, stack[k]), child)
+                    return
+        stack[-1].children.append(child)
+
     def push(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        put(node)
         stack.append(node)
         opened[tag] = opened.get(tag, 0) + 1
 
@@ -110,7 +133,7 @@ def build(page: str) -> tuple[Node, list[str]]:
         if text:
             if stack[-1].tag == "head" and not text.isspace():
                 _close(stack, frozenset(["head"]), frozenset())
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
+            put(html.unescape(text) if "&" in text else text)
         if not found:
             return root, sheets
         at = found.end()
@@ -120,9 +143,16 @@ def build(page: str) -> tuple[Node, list[str]]:
         tag = name.lower()
         if found["end"]:
             if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
+                put(Node("p"))
             elif tag == "br":
-                stack[-1].children.append(Node("br"))
+                put(Node("br"))
+            elif tag in FORMATTING:  # it ends alone, a block opened within it stays open
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        del stack[k]
+                        break
+                    if stack[k].tag in SCOPE:
+                        break
             elif opened.get(tag) and tag not in ("html", "body"):
                 _close(stack, frozenset([tag]), SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") else frozenset(["table"]) - {tag})
             continue
@@ -132,20 +162,29 @@ def build(page: str) -> tuple[Node, list[str]]:
             _close(stack, frozenset(["p"]), SCOPE)
         if tag in IMPLIED:
             _close(stack, *IMPLIED[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            push("tr", {})
+        if tag in PLACES:
+            tables = [k for k in range(len(stack)) if stack[k].tag == "table"] if opened.get("table") else []
+            if not tables:
+                continue
+            while stack[-1].tag not in PLACES[tag]:
+                stack.pop()
+            if tag in ("td", "th") and stack[-1].tag != "tr":
+                push("tr", {})
+        elif tag == "table" and stack[-1].tag in TABLE_CONTEXT:
+            while stack.pop().tag != "table":
+                pass
         attrs = _attributes(found["attrs"])
         if tag in ("html", "body") and opened.get(tag):
             continue
         if tag in VOID:
-            stack[-1].children.append(Node(tag, attrs))
+            put(Node(tag, attrs))
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inner = page[at : end.start()] if end else page[at:]
             at = end.end() if end else len(page)
             if tag == "style":
                 sheets.append(inner)
-            stack[-1].children.append(Node(tag, attrs, [html.unescape(inner) if tag in ("textarea", "title") else inner]))
+            put(Node(tag, attrs, [html.unescape(inner) if tag in ("textarea", "title") else inner]))
         else:
             push(tag, attrs)
 
@@ -228,7 +267,9 @@ class _Flow:
     def line_break(self) -> None:
         if not self.now:
             self._start()
-        self.end_line()
+        self.lines.append("".join(self.now))
+        self.now = []
+        self.space = False
 
     def block(self, gap: int) -> None:
         self.end_line()

@@ -54,7 +54,7 @@ class Model:
 
     def bucket_scores(self) -> np.ndarray:
         """What a gram of each bucket adds to the logit of label 1, before the mean."""
-        return (self.vectors @ (self.outputs[:, 1] - self.outputs[:, 0])).astype(np.float64)
+        return self.vectors.astype(np.float64) @ (self.outputs[:, 1] - self.outputs[:, 0]).astype(np.float64)
 
     def bias(self) -> float:
         return float(self.biases[1] - self.biases[0])

@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, sections: Column | None = None, text: str = "t
     path = path or ranks_path()
     by_line = sections is None
     none = F.lit(None).cast("array<bigint>")
-    starts, ends = (none, none) if by_line else (F.transform(sections, lambda x, k=k: x[k].cast("long")) for k in ("start", "end"))
+    starts, ends = (none, none) if by_line else (F.transform(sections, lambda x: x["start"].cast("long")), F.transform(sections, lambda x: x["end"].cast("long")))
     rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].cast("string").alias("text__"), starts.alias("starts__"), ends.alias("ends__"))
     out = T.StructType(
         [rows.schema[c] for c in keep]
