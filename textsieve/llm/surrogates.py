@@ -64,13 +64,14 @@ _GIVEN = "(?:" + "|".join(n for ns in GIVEN.values() for n in ns) + ")"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![\p{L}\p{N}_])(?i:" + _SECRET + r")[^\s\"']{6,}",
-    "ip": r"(?<![\p{N}.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\p{N})",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
-    "name": r"(?<!\p{L})(?:" + _TITLE + " " + _NAME + "(?: (?!" + _TITLE + " )" + _NAME + ")?|" + _GIVEN + " " + _NAME + r")(?!\p{L})",
+    "secret": r"(?<![\p{L}\p{N}_])(?=[apstAPST])(?i:" + _SECRET + r")[^\s\"']{6,}",
+    "ip": r"(?<![\p{N}.])(?=[0-9])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\p{N})",
+    "phone": r"(?<![\p{L}\p{N}+])(?=[0-9+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}.])(?=[0-9])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\p{L}\p{N}])",
+    "name": r"(?<!\p{L})(?=[\p{Lu}г])(?:" + _TITLE + " " + _NAME + "(?: (?!" + _TITLE + " )" + _NAME + ")?|" + _GIVEN + " " + _NAME + r")(?!\p{L})",
 }
-ANY = "|".join(PATTERNS.values())
+#: No entity starts within a word: one look back spares all patterns most positions.
+ANY = r"(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS.values()) + ")"
 #: Rounds of drawing again; each leaves a small share of the disputed units.
 MAX_ROUNDS = 60
 
