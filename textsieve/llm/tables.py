@@ -25,12 +25,22 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textsieve-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage: Spark then deletes shuffle files of steps nobody refers to."""
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free the disk of finished steps.
+
+    Kept ``tables`` that nothing will read again are deleted. The driver is asked to collect garbage: Spark then
+    deletes shuffle files of steps nobody refers to.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
