@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,13 +11,31 @@ from pyspark.sql import functions as F
 from . import fixed_values as fx
 from .text import SPACE, _col, excerpt, let, strip, word_count
 
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+#: A character reference: decimal, hexadecimal or by name.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: The names of HTML 4, and the apostrophe; a no-break space is read as a space.
+NAMED = {f"&{name};": chr(point) for name, point in sorted(name2codepoint.items())} | {"&apos;": "'", "&nbsp;": " "}
+
+
+def _character(point: Column) -> Column:
+    """Code point to character; what is none gives the replacement character."""
+    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(point == 0xA0, " ").otherwise(char)
 
 
 def unescape(c: Column) -> Column:
-    for name, char in _ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references to characters, once from left to right; unknown names stay."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def read(e: Column) -> Column:
+        body = F.substr(e, F.lit(3), F.length(e) - 3)
+        hexadecimal = F.conv(F.substr(body, F.lit(2)), 16, 10).cast("int")
+        numeric = F.when(body.rlike("^[xX]"), hexadecimal).otherwise(body.try_cast("int"))
+        return F.when(F.startswith(e, F.lit("&#")), _character(numeric)).otherwise(F.coalesce(F.try_element_at(names, e), e))
+
+    read_all = F.transform(F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0)), read)
+    return F.array_join(F.zip_with(F.split(c, REFERENCE, -1), read_all, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
 
 
 def inner_text(c: Column) -> Column:

@@ -42,7 +42,12 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def with_folds(rows: DataFrame, group: str, label: str, k: int, seed: int = 42) -> DataFrame:
-    return rows.join(grouped_folds(rows, group, label, k, seed), group)
+    """Rows with their group's fold; refuses fewer groups than folds, which would leave a fold empty."""
+    folds = grouped_folds(rows, group, label, k, seed)
+    found = folds.limit(k).count()
+    if found < k:
+        raise ValueError(f"{k} folds need as many groups, got {found}")
+    return gr.join_null_safe(rows, folds, [group])
 
 
 def out_of_fold(rows: DataFrame, spec: Spec, identity: str, k: int, mixed: bool = False) -> DataFrame:

@@ -19,7 +19,14 @@ def with_group_facts(df: DataFrame, keys: Sequence[str], **facts: Column) -> Dat
     """
     keys = list(keys)
     per_group = df.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()])
-    return df.join(per_group, keys)
+    return join_null_safe(df, per_group, keys)
+
+
+def join_null_safe(df: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a null equals a null; the keys appear once, from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return df.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def minimum_words(n_words: Column, label: Column, minima: dict[str, int], default: int) -> Column:

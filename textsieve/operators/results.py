@@ -35,18 +35,23 @@ def missing_from_cache(texts: DataFrame, cache: DataFrame, key: str = "key") ->
     return texts.dropDuplicates([key]).join(cache.select(key).distinct(), key, "left_anti")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds anything, in any store Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def fill_cache(
     spark: SparkSession, texts: DataFrame, path: str, compute: Callable[[DataFrame], DataFrame], key: str = "key"
 ) -> DataFrame:
-    """Compute and append only what is absent, then return the cached rows of ``texts``."""
-    schema_source = compute(texts.limit(0))
-    try:
-        cache = spark.read.schema(schema_source.schema).parquet(path)
-    except Exception:  # noqa: BLE001  the first call finds no table
-        schema_source.write.mode("append").parquet(path)
-        cache = spark.read.schema(schema_source.schema).parquet(path)
-    compute(missing_from_cache(texts, cache, key)).write.mode("append").parquet(path)
-    return spark.read.schema(schema_source.schema).parquet(path)
+    """Compute and append only what is absent, then return the cached rows of ``texts`` and no others."""
+    schema = compute(texts.limit(0)).schema
+    if table_exists(spark, path):
+        missing = missing_from_cache(texts, spark.read.schema(schema).parquet(path), key)
+    else:
+        missing = texts.dropDuplicates([key])
+    compute(missing).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).join(texts.select(key).distinct(), key, "left_semi")
 
 
 def report_payload(**sections: DataFrame) -> DataFrame:

@@ -43,21 +43,29 @@ def split_by_class(
     return _named(mark_first(rows, [group], key, identity, _quota(share))).drop("_mode")
 
 
+STRATA = 10
+
+
 def grouped_folds(
     df: DataFrame, group: str, label: str, k: int = 5, seed: int = 42, classes: Sequence[str] = ("fake", "true")
 ) -> DataFrame:
-    """Fold per group, balanced within groups of the same class signature; groups are never split.
+    """Fold per group; groups are never split, and a null group is a group.
 
-    The work is done on one row per group. Folds follow the seeded order of the groups inside a
-    signature, counted through hash buckets, so no signature is sorted as a whole.
+    One running number over all groups, ordered by the share of the first class in tenths, by size
+    (largest first) and by seeded hash, is dealt out modulo ``k``: every fold gets as many groups as
+    any other, give or take one, with alike shares and sizes. The work is done on one row per group.
+    The number is a prefix sum in three levels (share and size, hash bucket, rank inside a bucket), so
+    many groups of one size are not sorted in one task.
     """
-    counts = df.groupBy(group).agg(*[F.count_if(F.col(label) == c).alias(f"_n_{c}") for c in classes])
-    signature = F.concat_ws("/", *[F.col(f"_n_{c}") for c in classes])
-    groups = counts.select(group, signature.alias("_sig"), hash_key(seed, group).alias("_h"))
-    bucketed = groups.withColumn("_b", F.shiftright("_h", 36))
-    sizes = bucketed.groupBy("_sig", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("_sig").orderBy("_b")) - F.col("_n")
-    starts = sizes.select("_sig", "_b", before.alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_sig", "_b").orderBy("_h", group)) - 1
-    numbered = bucketed.withColumn("_i", inside).join(starts, ["_sig", "_b"])
-    return numbered.select(group, ((F.col("_before") + F.col("_i")) % k).cast("int").alias("fold"))
+    labelled = F.count_if(F.col(label).isin(*classes))
+    share = F.floor(STRATA * F.count_if(F.col(label) == classes[0]) / F.greatest(labelled, F.lit(1)))
+    groups = df.groupBy(group).agg(share.alias("_s"), (-F.count(F.lit(1))).alias("_z"))
+    groups = groups.withColumn("_h", hash_key(seed, group)).withColumn("_b", F.shiftright("_h", 36))
+    cells = groups.groupBy("_s", "_z", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    outer = cells.groupBy("_s", "_z").agg(F.sum("_n").alias("_m"))
+    over = outer.select("_s", "_z", (F.sum("_m").over(W.orderBy("_s", "_z")) - F.col("_m")).alias("_over"))
+    before = F.sum("_n").over(W.partitionBy("_s", "_z").orderBy("_b")) - F.col("_n")
+    starts = cells.select("_s", "_z", "_b", before.alias("_before")).join(over, ["_s", "_z"])
+    inside = F.row_number().over(W.partitionBy("_s", "_z", "_b").orderBy("_h", group)) - 1
+    numbered = groups.withColumn("_i", inside).join(starts, ["_s", "_z", "_b"])
+    return numbered.select(group, ((F.col("_over") + F.col("_before") + F.col("_i")) % k).cast("int").alias("fold"))

@@ -72,15 +72,33 @@ def number_model_variants(spark, d):
 @query(
     "grouped_folds",
     "M8",
-    f"""WITH g AS (SELECT conv_id, count(*) FILTER (role = 'user') || '/' || count(*) FILTER (role = 'assistant') AS sig,
-        {hash_sql(42, 'conv_id')} AS h FROM conversations GROUP BY conv_id)
-        SELECT conv_id, ((row_number() OVER (PARTITION BY sig ORDER BY h, conv_id) - 1) % 5)::INTEGER AS fold FROM g""",
+    f"""WITH g AS (SELECT conv_id, floor(10 * (count(*) FILTER (role = 'user')) / greatest(count(*) FILTER (role IN ('user', 'assistant')), 1)) AS share,
+        count(*) AS size, {hash_sql(42, 'conv_id')} AS h FROM conversations GROUP BY conv_id)
+        SELECT conv_id, ((row_number() OVER (ORDER BY share, size DESC, h, conv_id) - 1) % 5)::INTEGER AS fold FROM g""",
 )
 def grouped_folds_query(spark, d):
     rows = table(spark, d, "conversations", "conv_id", "role")
     return grouped_folds(rows, "conv_id", "role", 5, classes=("user", "assistant"))
 
 
+@query(
+    "grouped_folds_of_documents",
+    "M8",
+    f"""WITH r AS (SELECT source, quality FROM documents JOIN labels USING (doc_id)),
+        g AS (SELECT source, floor(10 * (count(*) FILTER (quality = 0)) / greatest(count(*) FILTER (quality IN (0, 1)), 1)) AS share,
+        count(*) AS size, {hash_sql(42, 'source')} AS h FROM r GROUP BY source),
+        n AS (SELECT source, size, ((row_number() OVER (ORDER BY share, size DESC, h, source) - 1) % 5)::INTEGER AS fold FROM g)
+        SELECT source, fold, size AS n_rows, count(*) OVER (PARTITION BY fold) AS groups_in_fold FROM n""",
+)
+def grouped_folds_of_documents(spark, d):
+    rows = labelled(spark, d).select("source", "label")
+    folds = grouped_folds(rows, "source", "label", 5)
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    per_fold = folds.groupBy("fold").agg(F.count(F.lit(1)).alias("groups_in_fold"))
+    named = gr.join_null_safe(folds, sizes, ["source"]).join(per_fold, "fold")
+    return named.select("source", "fold", "n_rows", "groups_in_fold")
+
+
 @query("words_folds", "M8")
 def words_folds(spark, d):
     return pr.cross_validate(labelled(spark, d), sp.PLAIN, "doc_id", "source")

@@ -15,10 +15,23 @@ from .registry import query
 _BARE = r"regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g')"
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_NAMES = "MAP {" + ", ".join(f"{_text(n)}: {_text(c)}" for n, c in pg.NAMED.items()) + "}"
+_POINT = "CASE WHEN e[3:3] IN ('x', 'X') THEN ('0x' || e[4:-2])::INT ELSE e[3:-2]::INT END"
+_READ = f"""CASE WHEN starts_with(e, '&#') THEN list_transform([{_POINT}], lambda p: CASE WHEN p = 160 THEN ' '
+    WHEN p BETWEEN 1 AND 1114111 AND p NOT BETWEEN 55296 AND 57343 THEN chr(p) ELSE chr(65533) END)[1] ELSE coalesce(names[e], e) END"""
+
+
+def _unescaped(c: str) -> str:
+    return f"""(SELECT array_to_string(list_transform(list_zip(string_split_regex(bare, '{pg.REFERENCE}'), regexp_extract_all(bare, '{pg.REFERENCE}')),
+        lambda z: z[1] || coalesce(list_transform([z[2]], lambda e: {_READ})[1], '')), '') FROM (SELECT {c} AS bare, {_NAMES} AS names))"""
+
+
 def _inner(c: str) -> str:
-    out = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
-    for name, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
-        out = f"replace({out}, '{name}', {char})"
+    out = _unescaped(f"regexp_replace({c}, '<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({out}, '{q.SPACE}+', ' ', 'g'))"
 
 
