@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +42,11 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table.kept_at)
         path.getFileSystem(conf).delete(path, True)
-    jvm.System.gc()
+    # Python's handles of finished frames go first, then what they held in the JVM
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
