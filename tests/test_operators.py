@@ -205,3 +205,62 @@ def test_one_timestamp_for_a_whole_group(spark):
     df = spark.range(0, 100).withColumns({"g": F.lit("a"), "ts": F.timestamp_seconds(F.lit(0))})
     got = splits.recency_split(df, "g", "ts", "id").where("split = 'val'").collect()
     assert sorted(r.id for r in got) == list(range(30))
+
+
+def test_folds_of_unequal_and_null_groups(spark):
+    from textsieve.models import protocols as pr
+
+    rows = []
+    for g in range(23):
+        for i in range(1 + (g * 7) % 19):
+            rows.append((None if g == 22 else f"g{g}", "fake" if (i + g) % 3 == 0 else "true", len(rows)))
+    df = spark.createDataFrame(rows, "grp string, label string, id long")
+    folds = {r["grp"]: r["fold"] for r in splits.grouped_folds(df, "grp", "label", 5).collect()}
+    assert len(folds) == 23 and None in folds
+    per_fold = Counter(folds.values())
+    assert set(per_fold) == set(range(5)) and max(per_fold.values()) - min(per_fold.values()) <= 1
+    sizes = Counter()
+    for grp, _, _ in rows:
+        sizes[folds[grp]] += 1
+    assert max(sizes.values()) <= 2 * min(sizes.values())
+    joined = pr.with_folds(df, "grp", "label", 5).collect()
+    assert len(joined) == len(rows) and all(r["fold"] == folds[r["grp"]] for r in joined)
+    with pytest.raises(ValueError):
+        pr.with_folds(df.where("grp = 'g1' or grp = 'g2'"), "grp", "label", 3)
+
+
+def test_group_facts_keep_null_groups(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4)], "g string, v int")
+    got = sorted((r["v"], r["n"]) for r in gr.with_group_facts(df, ["g"], n=F.sum("v")).collect())
+    assert got == [(1, 3), (2, 3), (3, 7), (4, 7)]
+
+
+def test_cache_returns_only_what_was_asked(spark, tmp_path):
+    calls = []
+
+    def compute(rows):
+        calls.append(rows)
+        return rows.select("key", F.length("text").alias("feature"))
+
+    def frame(*texts):
+        return spark.createDataFrame([(t, t) for t in texts], "key string, text string")
+
+    path = str(tmp_path / "cache")
+    assert sorted(map(tuple, results.fill_cache(spark, frame("aa", "b"), path, compute).collect())) == [("aa", 2), ("b", 1)]
+    assert sorted(map(tuple, results.fill_cache(spark, frame("b", "ccc"), path, compute).collect())) == [("b", 1), ("ccc", 3)]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_character_references(spark):
+    from textsieve.functions import pages as pg
+
+    cases = {
+        "&ccedil;&atilde;o &#233; &#xE9; &mdash;": "ção é é —",
+        "&amp;lt; &lt;b&gt; &unknown; &": "&lt; <b> &unknown; &",
+        "&#0; &#55296; &#1114112;": "� � �",
+        "x&nbsp;y&#160;z &#128512; &apos;": "x y z 😀 '",
+        "": "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
+    for r in df.select("want", pg.unescape(F.col("t")).alias("got")).collect():
+        assert r["got"] == r["want"]

@@ -184,7 +184,7 @@ def hybrid(train_rows: DataFrame, test_rows: DataFrame, specs: Sequence[Spec], i
     return rows, [float(w) for w in stack.coefficients]
 
 
-def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_iter: int = 20) -> DataFrame:
+def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_iter: int = 2000) -> DataFrame:
     """Test metrics of every setting. Features are built once per representation and shared over C."""
     from pyspark.ml import Pipeline
 
@@ -197,7 +197,7 @@ def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_
         spec = Spec((block,), balanced=False, max_iter=max_iter)
         ready, total = tr.prepared(train_rows, spec.balanced)
         vectorizer = Pipeline(stages=spec.stages()).fit(ready)
-        learned = tr.learning_rows(vectorizer.transform(ready), total, spec).persist()
+        learned = tr.learning_rows(vectorizer.transform(ready)).persist()
         seen = vectorizer.transform(test_rows).select("label", "features")
         parts = []
         for name, c in points:

@@ -50,13 +50,12 @@ class GramTokenizer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadabl
         return dataset.withColumn(self.getOutputCol(), grams(subject, lo, hi, low))
 
 
-# A vector column opens as a plain struct and closes again through JSON, inside the JVM.
-_OPEN = "v struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+# A vector column opens as a plain struct; it closes again through JSON, inside the JVM.
 _CLOSED = T.StructType([T.StructField("v", VectorUDT())])
 
 
 def _damped(counts):
-    opened = F.from_json(F.to_json(F.struct(counts.alias("v"))), _OPEN)["v"]
+    opened = F.unwrap_udt(counts)
     closed = tx.let(
         opened,
         lambda v: F.struct(
@@ -107,7 +106,7 @@ class TfidfEstimator(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable
             counts = CountVectorizer(
                 inputCol=grams, outputCol=f"{out}_counts", vocabSize=MAX_WIDTH + 1, minDF=1.0
             ).fit(chosen.select(grams))
-            opened = F.from_json(F.to_json(F.struct(F.col(f"{out}_counts").alias("v"))), _OPEN)["v"]
+            opened = F.unwrap_udt(f"{out}_counts")
             at = F.get(opened["indices"], F.lit(0)).alias("at")
             numbered = counts.transform(chosen).select(at, "idf").toPandas()  # bounded by the model width
         finally:

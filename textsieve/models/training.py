@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -21,8 +22,6 @@ from .stages import GramTokenizer
 
 PRODUCT_WORDS = 50
 MIXED_LENGTHS = (30, 50, 100)
-# A small training set takes its gradient steps in one partition, wide rows in four.
-SMALL_ROWS = 20_000
 
 
 def prepared(rows: DataFrame, balanced: bool, label: str = "label") -> tuple[DataFrame, float]:
@@ -55,20 +54,28 @@ def train(rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", l
     ready = ready.persist()
     try:
         features = Pipeline(stages=spec.stages(text)).fit(ready)
-        learned = learning_rows(features.transform(ready), total, spec)
-        return PipelineModel([*features.stages, classifier(spec, total).fit(learned)])
+        learned = learning_rows(features.transform(ready)).persist()
+        try:
+            return PipelineModel([*features.stages, fitted(classifier(spec, total), learned)])
+        finally:
+            learned.unpersist()
     finally:
         ready.unpersist()
 
 
-def learning_rows(df: DataFrame, n: float, spec: Spec) -> DataFrame:
-    """Columns of the classifier. Gradient steps of a small set are bound by job latency, so its rows
-    are gathered in few partitions after vectorising; a large one keeps its partitioning."""
-    rows = df.select("features", "_y", "_w")
-    if n >= SMALL_ROWS:
-        return rows
-    wide = any(getattr(b, "analyzer", "") == "char_wb" for b in spec.blocks)
-    return rows.repartition(4 if wide and n >= 4_000 else 1)
+def learning_rows(df: DataFrame) -> DataFrame:
+    """Columns of the classifier; rows stay in the partitions they are in."""
+    return df.select("features", "_y", "_w")
+
+
+def fitted(learner, rows: DataFrame):
+    """Fit until the tolerance stops the solver; warns when the limit of steps did."""
+    model = learner.fit(rows)
+    if model.hasSummary:
+        summary = model.summary() if callable(model.summary) else model.summary
+        if summary.totalIterations >= learner.getMaxIter():
+            warnings.warn(f"the solver stopped at its limit of {learner.getMaxIter()} steps", RuntimeWarning, stacklevel=2)
+    return model
 
 
 def score(model: PipelineModel, rows: DataFrame, text: str = "text", words: int | None = PRODUCT_WORDS) -> DataFrame:

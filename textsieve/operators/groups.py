@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_words, word_count
-from ..session import broadcast_if_small
 
 
 def with_group_facts(df: DataFrame, keys: Sequence[str], **facts: Column) -> DataFrame:
@@ -52,7 +51,7 @@ def rejected(df: DataFrame, reason: str = "reason") -> DataFrame:
 
 def apply_block_list(df: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     """Attach the reason of a block list ``(key, reason)``; null for rows that stay."""
-    return df.join(broadcast_if_small(blocks), key, "left")
+    return df.join(blocks, key, "left")
 
 
 def unknown_blocks(df: DataFrame, blocks: DataFrame, key: str) -> DataFrame:

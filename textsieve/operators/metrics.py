@@ -6,6 +6,7 @@ the predictions is all the data work.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -72,36 +73,33 @@ def with_wilson(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("acc_low", low).withColumn("acc_high", high)
 
 
-def _draw(seed: int):
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _intervals(seed: int, resamples: int):
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            cells = batch[CELLS].to_numpy(dtype=np.int64)
             rows = []
-            for key, rep, *cells in batch[["_key", "replicate", *CELLS]].itertuples(index=False):
-                rng = np.random.default_rng([seed, int(rep)])
-                n = int(sum(cells))
-                ff, ft, tf, tt = rng.multinomial(n, np.asarray(cells, dtype=float) / n)
-                fake = 2 * ff / (2 * ff + ft + tf) if ff else 0.0
-                true = 2 * tt / (2 * tt + ft + tf) if tt else 0.0
-                rows.append((key, 50.0 * (fake + true)))
-            yield pd.DataFrame(rows, columns=["_key", "f1"])
+            for key, four in zip(batch["_key"], cells, strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(key.encode())])
+                ff, ft, tf, tt = rng.multinomial(four.sum(), four / four.sum(), size=resamples).T.astype(float)
+                fake = 2 * ff / np.maximum(2 * ff + ft + tf, 1)
+                true = 2 * tt / np.maximum(2 * tt + ft + tf, 1)
+                rows.append((key, *np.quantile(50.0 * (fake + true), (0.025, 0.975))))
+            yield pd.DataFrame(rows, columns=["_key", "f1_low", "f1_high"])
 
-    return resample
+    return bounds
 
 
 def bootstrap_f1(metrics: DataFrame, keys: Sequence[str], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
     """Percentile interval of macro F1 by resampling rows.
 
-    Resampling n rows with replacement draws the four cell counts from a multinomial, so each
-    replicate costs one draw whatever the size of the table.
+    Resampling n rows with replacement draws the four cell counts from a multinomial, so a key costs
+    one vectorised draw of all replicates, whatever the size of the table. Every key has a stream of
+    its own.
     """
     key = F.to_json(F.struct(*keys)) if keys else F.lit("all")
-    replicates = metrics.where(F.col("n") > 0).select(
-        key.alias("_key"), *CELLS, F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")
-    )
-    drawn = replicates.mapInPandas(_draw(seed), "_key string, f1 double")
-    bounds = drawn.groupBy("_key").agg(F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975))).alias("_b"))
-    bounds = bounds.select("_key", F.col("_b")[0].alias("f1_low"), F.col("_b")[1].alias("f1_high"))
-    return metrics.withColumn("_key", key).join(bounds, "_key", "left").drop("_key")
+    cells = metrics.where(F.col("n") > 0).select(key.alias("_key"), *CELLS)
+    drawn = cells.mapInPandas(_intervals(seed, resamples), "_key string, f1_low double, f1_high double")
+    return metrics.withColumn("_key", key).join(drawn, "_key", "left").drop("_key")
 
 
 def source_accuracy(df: DataFrame, keys: Sequence[str], source: str, label: str = "label", predicted: str = "predicted"):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.ngrams import run_lengths
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 HOT_TERMS = 20_000
 SLACK = 1e-9
@@ -119,7 +119,7 @@ def near_copies(
     """Pairs ``(id, reference_id, cosine)`` at or above the threshold, exactly.
 
     Document frequencies come from rows and references, or from the references alone. References
-    are the small side: their leading terms are broadcast when a count shows they are small, rows
+    are the small side: Spark broadcasts their leading terms when their bytes allow it, rows
     that share none of them are never compared, and only rows with a candidate get full vectors.
     The vocabulary, the reference vectors and the candidate pairs are each written once, so the
     rows are read three times in all: frequencies, candidates, vectors of candidates.
@@ -134,7 +134,7 @@ def near_copies(
     terms = cut_lineage(terms)
     ref_vectors = cut_lineage(tfidf(ref_counts, reference_id, terms))
     lead = leading_terms(ref_vectors, reference_id, threshold).select("term", reference_id)
-    pairs = row_counts.select(identity, "term").join(broadcast_if_small(lead), "term")
+    pairs = row_counts.select(identity, "term").join(lead, "term")
     pairs = cut_lineage(pairs.select(identity, reference_id).distinct())
     chosen = rows.join(pairs.select(identity).distinct(), identity, "left_semi")
     vectors = tfidf(term_counts(chosen, identity, row_terms), identity, terms)

@@ -1,4 +1,4 @@
-"""Session helpers: local sessions for tests, lineage cutting and size-checked broadcasts."""
+"""Session helpers: local sessions for tests, lineage cutting and fan-out of small files."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+
+_OWN_DIRS: dict[str, str] = {}
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "textsieve") -> SparkSession:
@@ -32,10 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="textsieve-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        # the setting is fixed once a session runs, so the folder is remembered here
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="textsieve-ckpt-")
+        return _OWN_DIRS[app]
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
@@ -47,16 +51,6 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only after a bounded count proves that it is small.
-
-    At most ``max_rows + 1`` rows are looked at. Above the bound the frame comes back
-    unchanged and Spark picks a shuffled join.
-    """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Repartition by ``key`` when the scan has fewer splits than the cluster has cores.
 
