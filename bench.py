@@ -31,6 +31,10 @@ HEADLINE = [
     "lead_excerpt",
     "words_svm_balanced",
     "characters_svm",
+    "drop_near_copies",
+    "decontaminate",
+    "mask_by_lexicon",
+    "word_contributions",
 ]
 
 

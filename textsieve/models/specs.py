@@ -68,7 +68,7 @@ class Spec:
     classifier: str = "svm"
     c: float = 1.0
     balanced: bool = True
-    max_iter: int = 2000
+    max_iter: int = 300
 
     def stages(self, text: str = "text") -> list:
         if len(self.blocks) == 1:
@@ -83,7 +83,7 @@ CHARS = TextBlock("char_wb", 2, 5, 200_000, sublinear=True)
 PLAIN = Spec(balanced=False)
 BASE = Spec()
 CHOSEN = Spec((CHARS,))
-SIZE_ONLY = Spec((Columns(),), balanced=False)
+SIZE_ONLY = Spec((Columns(),), balanced=False, max_iter=30)
 
 
 def text_variants() -> dict[str, Spec]:
