@@ -184,7 +184,7 @@ def hybrid(train_rows: DataFrame, test_rows: DataFrame, specs: Sequence[Spec], i
     return rows, [float(w) for w in stack.coefficients]
 
 
-def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_iter: int = 300) -> DataFrame:
+def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_iter: int = 100) -> DataFrame:
     """Test metrics of every setting. Features are built once per representation and shared over C."""
     from pyspark.ml import Pipeline
 
