@@ -12,9 +12,9 @@ from .tables import crc_class, read
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component of every document under links of Jaccard 0.9 over 3-word shingles."""
+    """Set, component and number of links of every document under links of Jaccard 0.9 over 3-word shingles."""
     found = jaccard_join.classes(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, percent=90)
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "set_id", "component_id", "n_links")
 
 
 #: Production passes a key of its own; this one makes test results repeatable.
