@@ -63,3 +63,18 @@ def test_short_payloads_are_all_responses(spark):
 def test_no_pages(spark):
     _, records = warc.deduplicate(frame(spark, []))
     assert records.count() == 0
+
+
+def test_archives_that_hold_revisits(spark):
+    """Revisits with larger ids than the response that holds their payload, and one whose response is elsewhere."""
+    rows = [(1, 10, "response", None, "kept"), (2, 20, "response", None, "kept"), (3, 90, "revisit", 10, "kept"), (4, None, "revisit", 5, "kept"), (5, 30, "response", None, "other"), (6, 91, "revisit", 7, "gone")]
+    records = [warc._record(no, page, f"http://a/{no}", text, kind, "2020-01-01T00:00:00Z", to, sha(text), len(text)) for no, page, kind, to, text in rows]
+    records[3] = records[3].replace("X-Payload-Length: 4\r\n", "")
+    folder = warc._write(spark.createDataFrame([(r,) for r in records], "value string"), warc.new_folder(spark, "t"))
+    decisions = warc.resolve(warc.read_archives(spark, folder))
+    out = warc.write_deduplicated(warc.read_archives(spark, folder, with_payload=True), decisions, warc.new_folder(spark, "t"))
+    got = {r["record_no"]: (r["record_type"], r["refers_to"], r["payload"], r["declared_digest"]) for r in warc.read_archives(spark, out, with_payload=True).collect()}
+    assert got == {
+        1: ("revisit", 20, "", sha("kept")), 2: ("response", None, "kept", sha("kept")), 3: ("revisit", 20, "", sha("kept")),
+        4: ("revisit", 20, "", sha("kept")), 5: ("response", None, "other", sha("other")), 6: ("revisit", 7, "", sha("gone")),
+    }

@@ -5,8 +5,9 @@ line and the payload, and the writer's own line end completes the two line ends
 are gzip files in the folder all executors share. ``read_archives`` cuts files by ``Content-Length``, never by
 searching the payload, and computes digest and length from the payload itself.
 
-``resolve`` shuffles headers only, by payload digest: the record with the largest id is the response, all
-others of that digest revisit it; payloads shorter than ``min_bytes`` are all responses. Payloads of equal
+``resolve`` shuffles headers only, by payload digest: of the responses the one with the largest id stays, all other
+records of that digest revisit it, also those that were revisits before; a revisit without any response stays a
+revisit, with the reference it had; payloads shorter than ``min_bytes`` all stay responses. Payloads of equal
 digest and length count as equal. ``write_deduplicated`` then writes archives again: responses whole, revisits
 without payload, both with fresh headers (own length, date, reference to the original).
 
@@ -159,15 +160,20 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
 def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``record_no``, ``kind`` and ``original`` of every record, from headers alone.
 
-    The original of a digest is one aggregate row, so a digest that a third of all records share costs one
-    partial maximum per task; the join back is an equi-join whose large partitions Spark may split.
+    Only a response can be an original. The original of a digest is one aggregate row, so a digest that a third of
+    all records share costs one partial maximum per task; the join back is an equi-join whose large partitions Spark
+    may split. A revisit stays one: it refers to the response of its digest, or without any to what it referred to.
     """
     lead = F.struct(F.col("page_id"), F.col("record_no"))
-    originals = headers.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(lead).alias("lead"))
+    whole = F.col("record_type") == "response"
+    originals = headers.where(whole).groupBy("payload_digest", "payload_bytes").agg(F.max(lead).alias("lead"))
     originals = originals.select(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b"), F.col("lead.page_id").alias("lead_page"), F.col("lead.record_no").alias("lead_no"))
-    met = headers.select("record_no", "payload_digest", "payload_bytes").join(originals, (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes") == F.col("b")), "left")
-    again = F.col("lead_no").isNotNull() & (F.col("lead_no") != F.col("record_no"))
-    return met.select("record_no", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("lead_page")).alias("original"))
+    # a revisit need not tell the length of its payload
+    same = (F.col("payload_digest") == F.col("d")) & (F.col("payload_bytes").isNull() | (F.col("payload_bytes") == F.col("b")))
+    met = headers.select("record_no", "record_type", "refers_to", "payload_digest", "payload_bytes").join(originals, same, "left")
+    again = F.col("lead_no").isNotNull() & (F.col("lead_no") != F.col("record_no")) & (F.col("payload_bytes") >= min_bytes)
+    original = F.when(whole & again, F.col("lead_page")).when(~whole, F.when(F.col("lead_no").isNotNull(), F.col("lead_page")).otherwise(F.col("refers_to")))
+    return met.select("record_no", F.when(~whole | again, "revisit").otherwise("response").alias("kind"), original.alias("original"))
 
 
 def write_deduplicated(records: DataFrame, decisions: DataFrame, folder: str, date: str = "2020-01-02T00:00:00Z") -> str:
