@@ -55,6 +55,18 @@ def test_lines_against_brute_force(spark, odd, empty):
     assert line_frequency.judge(empty).count() == 0
 
 
+def test_frequent_lines_are_removed_from_texts(spark):
+    own = [" ".join(c * k for k in range(1, 26)) for c in "abcdef"]  # digits would count as equal
+    rows = [(i, f"Menu {i}\n{own[i]}\n\n \n{own[i]} again\n MENU 7 \nend", None if i == 5 else "a") for i in range(6)]
+    rows += [(0, rows[0][1], "a"), (7, "Menu 1", "a"), (8, None, "a"), (9, "", None), (None, own[0] + "\nmenu 3\n", "a"), (11, "menu 12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in line_frequency.cleaned(df, max_documents=4).collect()), key=repr)
+    assert (1, f"{own[1]}\n\n \n{own[1]} again") in got and (5, rows[5][1]) in got
+    lost = {"end"}  # stands in five documents of host a, too
+    want = [(i, "\n".join(x for x in (t or "").split("\n") if h != "a" or not (x.strip().lower().startswith("menu") or x in lost)) if t is not None else None) for i, t, h in rows]
+    assert got == sorted(want, key=repr)
+
+
 def test_seeds_hit_every_stretch_with_four_substitutions():
     for places in combinations(range(20), 4):
         changed = set(places)

@@ -56,7 +56,7 @@ def op5_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict of every document; ``source`` is the host."""
-    return line_frequency.judge(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return line_frequency.cleaned(read(spark, sf_dir, "documents", "doc_id", "text", "source")).drop("text")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
