@@ -39,6 +39,26 @@ CASES = [
 ]
 
 
+VISIBLE = [
+    ("<style>@media print { .noprint {display:none} } .x{display:none}</style><p class=noprint>a<p class=x>b", "a"),
+    ("<style>@media (max-width:600px){nav{display:none} .s{display:none}}</style><nav>n</nav><p class=s>s", "n\n\ns"),
+    ("<style>@media screen{.a{display:none}} @media print, all{.b{display:none}}</style><p class=a>a<p class=b>b<p>c", "c"),
+    ("<style>@import 'x.css'; @supports (display:grid){p{display:none}} .q{content:'}'; display:none} .r{display:none</style><p>a<i class=q>q</i><b class=r>r</b>", "a"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<p>E <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> f", "E x=1 f"),
+    ("a<svg><title>t</title><desc>d</desc><defs/><defs><text>no</text></defs><circle r=1 /><text>one</text><text>two</text></svg>b", "a\none\ntwo\nb"),
+    ("<svg><title/><text>x</text></svg><p>y", "x\n\ny"),
+    ("<p><a title=Bob's href=x>link</a> words that aren't here</p><p>it's", "link words that aren't here\n\nit's"),
+    ("<p 'x>a</p><p y=\"b>c\" z='d>e'>f", "a\n\nf"),
+    ("<p title=a=\"b>c</p><p id = 'x>y'>d\"e", "c\n\nd\"e"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), VISIBLE)
+def test_visible_text_is_kept(page, want):
+    assert hl.visible_text(page) == want
+
+
 @pytest.mark.parametrize(("page", "want"), CASES)
 def test_cases(page, want):
     got = hl.visible_text(page)

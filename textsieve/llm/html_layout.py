@@ -8,7 +8,9 @@ their bullet or number and depth, and tables are laid out as columns padded to o
 
 Hidden: what a browser with scripts never paints (scripts, styles, head, templates, ``noscript``, closed
 ``details`` but for the summary, ``hidden``, ``display:none`` or ``visibility:hidden`` in a ``style`` attribute or
-in a rule of the page whose selector is one tag, class or id). Everything else is emitted, boilerplate too.
+in a rule of the page whose selector is one tag, class or id, outside at-rules other than ``@media screen`` or ``all``;
+titles, descriptions and definitions of drawings and formulas). Everything else is emitted, boilerplate and the
+text of drawings and formulas too, each text of a drawing on a line of its own.
 
 Defined cases: a null page gives null, an empty one or one without visible text an empty string; broken markup
 never fails, an unfinished tag at the end is dropped; nesting may be of any depth. Pages of any length are read whole.
@@ -25,18 +27,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 _TAG = re.compile(
-    r"<(?:!--(?:.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<close>>|\Z))",
+    r"<(?:!--(?:.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)|[^>])*+)(?P<close>>|\Z))",
     re.S,
 )
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]", re.S)
 _HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER = frozenset("head script style title template noscript iframe object audio video canvas svg math datalist noembed noframes base link meta".split())
+NEVER = frozenset("head script style title template noscript iframe object audio video canvas datalist noembed noframes base link meta".split())
+#: Never painted within svg and math.
+FOREIGN = frozenset(["svg", "math"])
+NEVER_FOREIGN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul xmp".split()
@@ -174,6 +179,9 @@ def build(page: str) -> tuple[Node, list[str]]:
             while stack.pop().tag != "table":
                 pass
         attrs = _attributes(found["attrs"])
+        if found["attrs"].endswith("/") and (tag in FOREIGN or ((opened.get("svg") or opened.get("math")) and any(n.tag in FOREIGN for n in stack))):
+            put(Node(tag, attrs))
+            continue
         if tag in ("html", "body") and opened.get(tag):
             continue
         if tag in VOID:
@@ -182,18 +190,52 @@ def build(page: str) -> tuple[Node, list[str]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             inner = page[at : end.start()] if end else page[at:]
             at = end.end() if end else len(page)
-            if tag == "style":
+            if tag == "style" and _on_screen(attrs.get("media", "")):
                 sheets.append(inner)
             put(Node(tag, attrs, [html.unescape(inner) if tag in ("textarea", "title") else inner]))
         else:
             push(tag, attrs)
 
 
+def _on_screen(queries: str) -> bool:
+    """Whether a list of media queries holds for every screen."""
+    return any(re.fullmatch(r"(?:only\s+)?(?:all|screen)|", q.strip().lower()) for q in queries.split(","))
+
+
+def _rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of rules that hold on every screen; open blocks end with the sheet."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", " ", sheet, flags=re.S)
+    open_blocks: list[tuple[str, bool, list[str]]] = []  # what stands before the brace, whether it counts, declarations
+    at = 0
+    for token in [*_CSS.finditer(sheet), *[None] * (sheet.count("{") + 1)]:
+        if token is None and not open_blocks:
+            return
+        kind, end = (token[0], token.start()) if token else ("}", len(sheet))
+        if kind == "{":
+            head = sheet[at:end].strip()
+            counts = all(ok and h.startswith("@") for h, ok, _ in open_blocks)
+            if head.startswith("@"):
+                name, _, rest = head[1:].partition(" ")
+                counts = counts and name.lower() == "media" and _on_screen(rest)
+            open_blocks.append((head, counts, []))
+        elif kind == ";":
+            if open_blocks:
+                open_blocks[-1][2].append(sheet[at:end])
+        elif kind == "}":
+            if open_blocks:
+                head, counts, body = open_blocks.pop()
+                if counts and not head.startswith("@"):
+                    yield head, ";".join([*body, sheet[at:end]])
+        else:
+            continue
+        at = token.end() if token else len(sheet)
+
+
 def hiding_selectors(sheets: list[str]) -> frozenset[str]:
-    """Selectors of a single tag, ``.class`` or ``#id`` whose rule hides, outside media rules."""
+    """Selectors of a single tag, ``.class`` or ``#id`` whose rule hides on every screen."""
     out = set()
     for sheet in sheets:
-        for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
+        for selectors, body in _rules(sheet):
             if _HIDES.search(body.strip()):
                 out.update(s for s in (x.strip() for x in selectors.split(",")) if re.fullmatch(r"[.#]?[\w-]+", s))
     return frozenset(out)
@@ -337,6 +379,7 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
     tables: list[list[list]] = []  # rows of the open tables
     lists: list[list] = []  # [tag, next number] of the open lists
     kept = 0  # depth of elements that keep white space
+    foreign = 0  # depth of drawings and formulas
     todo: list[tuple] = [("in", root)]
     while todo:
         what, node = todo.pop()
@@ -349,7 +392,7 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
             continue
         tag = node.tag
         if what == "in":
-            if _hidden(node, selectors):
+            if _hidden(node, selectors) or (foreign and (tag in NEVER_FOREIGN or node.attrs.get("display") == "none" or node.attrs.get("visibility") == "hidden")):
                 continue
             if tag == "br":
                 flow.line_break()
@@ -388,6 +431,10 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
                     flow.indents.append("  ")
             if tag in ("pre", "textarea", "xmp"):
                 kept += 1
+            if tag in FOREIGN:
+                foreign += 1
+            elif foreign and tag == "text":
+                flow.block(0)
             todo.append(("out", node))
             children = node.children
             if tag == "details" and "open" not in node.attrs:
@@ -400,6 +447,10 @@ def render(root: Node, selectors: frozenset[str] = frozenset()) -> str:
             continue
         if tag in ("pre", "textarea", "xmp"):
             kept -= 1
+        if tag in FOREIGN:
+            foreign -= 1
+        elif foreign and tag == "text":
+            flow.block(0)
         if tag in LISTS:
             lists.pop()
             flow.block(0 if lists else 1)
