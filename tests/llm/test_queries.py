@@ -87,3 +87,14 @@ def test_pipeline_odd_and_empty_rows(spark, odd, empty):
             assert {"row", "score", "ids"} <= set(out.columns) and len(out.columns) == len(set(out.columns))
         else:
             assert out.columns == odd.columns and {tuple(r) for r in rows} <= {tuple(r) for r in odd.collect()}
+
+
+def test_pipeline_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    """Near and exact copies with null ids, with and without an id in the group; one id with two texts."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(100)) for x in "abcd")
+    rows = [(3, a, 1), (5, a + " more", 2), (5, b, 3), (None, a + " less", 4), (None, c, 5), (None, c, 6), (None, c + " more", 7), (7, d, 8), (7, d + " more", 9), (8, "", 10), (8, "", 11), (9, "", 12), (None, None, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    got = sorted(r["row"] for r in corpus_pipeline.one_of_each_group(spark, df, SF).collect())
+    c_rows, d_rows, e_rows = ({5, 6, 7}, {8, 9}, {10, 11})
+    assert {1, 3, 12, 13} <= set(got) and len(got) == 7
+    assert all(len(set(got) & x) == 1 for x in (c_rows, d_rows, e_rows))
