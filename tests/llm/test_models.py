@@ -90,3 +90,28 @@ def test_every_block_of_a_long_text_counts():
     whole = language_id.sizes(raw, tools)
     parts = sum(language_id.sizes(raw[i : i + language_id.BLOCK], tools) for i in range(0, len(raw), language_id.BLOCK))
     assert whole.tolist() == parts.tolist() and names == ["aa", "bb"]
+
+
+def test_dictionaries_learn_from_whole_distinct_texts(spark):
+    """A shared header longer than a slice, and copies of one text, do not crowd out the language's own prose."""
+    header = "menu licence header " * 100
+    rows = [(i, header + " ".join(f"prose{i}x{k}" for k in range(400)), "aa") for i in range(20)]
+    rows += [(100 + i, "copied text of many rows", "aa") for i in range(400)]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["aa"].decode("utf-8", "replace")
+    assert learned.count("copied text") == 1
+    assert sum(f"prose{i}x" in learned for i in range(20)) == 20
+    short = language_id.learn(spark.createDataFrame(rows[:1] + [(1, "Short Text", "bb")], "doc_id long, text string, lang string"))
+    assert short["bb"] == b"\nshort text"
+
+
+def test_classifier_learns_from_all_grams(spark, monkeypatch):
+    """Every gram of a long text reaches training, as counts."""
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda rows, settings: seen.extend(rows))
+    docs = spark.createDataFrame([(1, LONG), (2, "two words")], "doc_id long, text string")
+    quality_model.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    settings = quality_model.Settings()
+    for text, label in ((LONG, 1), ("two words", 0)):
+        ids = np.concatenate([quality_model.gram_ids(w, settings)[1] for w in words(pa.array([text]))])
+        want, times = np.unique(ids, return_counts=True)
+        assert [(i.tolist(), c.tolist()) for i, c, y in seen if y == label] == [(want.tolist(), times.tolist())]

@@ -6,8 +6,8 @@ dictionary; the language with the fewest bytes in all is chosen. Case is ignored
 the chosen language's share of ``2 ** -bits``. A choice is ``rejected`` when the second-best language needs
 less than ``min_margin`` more bytes (a share of the best).
 
-Learning is bounded: ``rows_per_language`` rows of each language, taken by a hash of their key, give a
-dictionary of at most ``dictionary_bytes``. Prediction reads every text whole.
+Learning is bounded: ``rows_per_language`` distinct texts of each language, taken by their hash, give a dictionary of
+at most ``dictionary_bytes``; of a long text ``SLICES`` slices are taken, one at a keyed place of each equal part. Prediction reads every text whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; ties go to the
 first language by name; without any labelled row every text is ``und``; rows with a null language teach nothing.
@@ -28,27 +28,40 @@ from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 BLOCK = 16_384
+#: Places of a long text that a dictionary learns from.
+SLICES = 5
 #: Short matches and a lazy search: on a few hundred bytes the faster levels hardly use the dictionary.
 MATCHING = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 3, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY}
 _LETTER = regex.compile(r"\p{L}")
 _READY: dict[str, tuple[list[str], list[zstandard.ZstdCompressor]]] = {}
 
 
+def spread_part(text: Column, place: Column, size: int) -> Column:
+    """About ``size`` characters of a text: all of a short one, else ``SLICES`` slices, each at a keyed place of its part."""
+    long, one = F.length(text), size // SLICES
+    part = F.floor(long / SLICES)
+    at = lambda i: i * part + F.pmod(F.xxhash64(place, i), part - one + 1) + 1
+    slices = F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.substring(text, at(i).cast("int"), F.lit(one)))
+    return F.when(long <= size, text).otherwise(F.array_join(slices, "\n"))
+
+
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", rows_per_language: int = 300, dictionary_bytes: int = 112_640) -> dict[str, bytes]:
     """Dictionaries by language from labelled rows; the last bytes of a dictionary are the cheapest to refer to."""
-    rows = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"), docs[f"`{language}`"].cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.select(docs[f"`{text}`"].cast("string").alias("text"), docs[f"`{language}`"].cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("place", F.xxhash64(F.lit("language sample"), "text"))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("place").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3.0 * rows_per_language / n))])
-    place = F.xxhash64(F.lit("language sample"), "key")
-    few = rows.withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place", "key"))).where(F.col("n") <= rows_per_language)
-    # every chosen text gives an equal part, from its start
-    part = F.encode(F.substring(F.lower("text"), 1, max(64, 2 * dictionary_bytes // rows_per_language)), "utf-8")
+    few = rows.where(F.pmod("place", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    # every chosen text gives an equal part, from all of it
+    size = max(64, 2 * dictionary_bytes // rows_per_language)
+    few = few.select("lang", "place", spread_part(F.lower("text"), F.col("place"), size).alias("part"))
+    few = few.groupBy("lang", "place").agg(F.first("part").alias("part"))
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= rows_per_language)
+    few = few.withColumn("part", F.encode("part", "utf-8"))
     out: dict[str, bytes] = {}
-    for row in few.select("lang", part.alias("part")).orderBy("lang", "n").toLocalIterator():
+    for row in few.select("lang", "n", "part").orderBy("lang", "n").toLocalIterator():
         have = out.get(row["lang"], b"")
         if len(have) < dictionary_bytes:
             out[row["lang"]] = (have + b"\n" + bytes(row["part"]))[:dictionary_bytes]

@@ -5,9 +5,8 @@ the document is the mean of its vectors, a softmax over two outputs gives the pr
 equal words is one gram for all words. The biases are the log shares of the labels. Vectors and outputs are
 trained together by stochastic gradient descent in numpy, one document at a time.
 
-Fitting is bounded and documented: ``max_rows`` labelled rows, taken by a hash of their key, with
-``max_grams`` n-grams of each at evenly spread positions of the whole text. So the driver holds at most
-``max_rows * max_grams`` ids, whatever the corpus. Scoring reads every n-gram of every text: the output is
+Fitting is bounded and documented: ``max_rows`` labelled rows, taken by a hash of their key, with all n-grams of
+each, as counts of buckets. So the driver holds at most ``max_rows * buckets`` counts, whatever the corpus. Scoring reads every n-gram of every text: the output is
 linear in the mean, so each bucket's vector is multiplied by the outputs once and a text costs one table look
 per n-gram.
 
@@ -39,7 +38,6 @@ class Settings:
     dimensions: int = 8
     char_sizes: tuple[int, ...] = (3, 4)
     max_rows: int = 4000
-    max_grams: int = 1500
     epochs: int = 6
     rate: float = 0.5
     seed: int = 17
@@ -95,25 +93,24 @@ def gram_ids(found: Words, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     return counts, flat
 
 
-def train(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
-    """Vectors and outputs from rows of bucket ids and label."""
+def train(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> Model:
+    """Vectors and outputs from rows of distinct bucket ids, their counts and label."""
     rng = np.random.default_rng(settings.seed)
     vectors = np.zeros((settings.buckets, settings.dimensions), dtype=np.float32)
     outputs = rng.normal(0, 1, (settings.dimensions, 2)).astype(np.float32)
     outputs[:, 1] = -outputs[:, 0]
-    ones = sum(label for _, label in rows)
+    ones = sum(label for _, _, label in rows)
     prior = (ones + 0.5) / (len(rows) + 1.0)
     biases = np.array([np.log(1 - prior), np.log(prior)]) if rows else np.zeros(2)
     model = Model(settings, vectors, outputs, biases)
     if not rows or ones in (0, len(rows)):
         return model
-    grams = [np.unique(ids, return_counts=True) for ids, _ in rows]
     step, steps = 0, settings.epochs * len(rows)
     for _ in range(settings.epochs):
         for i in rng.permutation(len(rows)):
             rate = settings.rate * (1 - step / steps)
             step += 1
-            ids, counts = grams[i]
+            ids, counts, label = rows[i]
             if not len(ids):
                 continue
             weights = (counts / counts.sum()).astype(np.float32)
@@ -121,7 +118,7 @@ def train(rows: list[tuple[np.ndarray, int]], settings: Settings) -> Model:
             logits = mean @ outputs + biases
             chance = np.exp(logits - logits.max())
             error = (chance / chance.sum()).astype(np.float32)
-            error[rows[i][1]] -= 1
+            error[label] -= 1
             back = outputs @ error
             outputs -= rate * np.outer(mean, error).astype(np.float32)
             # a mean of many vectors moves by rate / n for each of them; the number of kinds scales it back
@@ -145,14 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for found in words(batch.column(0)):
                 counts, flat = gram_ids(found, settings)
                 ends = np.cumsum(counts)
-                chosen = [flat[end - n + np.linspace(0, n - 1, min(n, settings.max_grams)).astype(np.int64)] if n else flat[:0] for end, n in zip(ends, counts, strict=True)]
+                grams = [np.unique(flat[end - n : end], return_counts=True) for end, n in zip(ends, counts, strict=True)]
                 part = batch.slice(found.first, found.last - found.first)
-                ids = pa.array([c.astype(np.int32) for c in chosen], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), ids], names=["place", "label", "ids"])
+                ids, times = (pa.array([g[k].astype(np.int32) for g in grams], pa.list_(pa.int32())) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), ids, times], names=["place", "label", "ids", "counts"])
 
-    sampled = few.select("text", "place", "label").mapInArrow(sample, "place bigint, label int, ids array<int>")
-    got = sampled.orderBy("place", F.hash("ids")).limit(settings.max_rows).toArrow()
-    return train([(ids.values.to_numpy(zero_copy_only=False), y) for ids, y in zip(got["ids"], got["label"].to_pylist(), strict=True)], settings)
+    sampled = few.select("text", "place", "label").mapInArrow(sample, "place bigint, label int, ids array<int>, counts array<int>")
+    got = sampled.orderBy("place", F.hash("ids", "counts")).limit(settings.max_rows).toArrow()
+    ids, counts = ([x.values.to_numpy(zero_copy_only=False) for x in got[c]] for c in ("ids", "counts"))
+    return train(list(zip(ids, counts, got["label"].to_pylist(), strict=True)), settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), into: str = "score") -> DataFrame:
