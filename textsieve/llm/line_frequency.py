@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, release
 
 WINDOW = 8
 _SPACES = " \t\n\x0b\f\r"
@@ -107,6 +107,7 @@ def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     facts = table.groupBy("host", "same").agg(*[F.first(c).alias(c) for c in counts])
     facts = facts.join(places, F.col("host").eqNullSafe(F.col("at_host")) & (F.col("same") == F.col("at_same")), "left")
     facts = kept(facts.select(F.col("host").alias("of_host"), F.col("same").alias("of_same"), *counts, "places"), "line-verdicts")
+    release(docs.sparkSession, table)
     texts = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{host}`"].cast("string").alias("host"), docs[f"`{text}`"].cast("string").alias("text"))
     texts = texts.withColumn("same", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = texts.join(facts, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("same") == F.col("of_same")))
