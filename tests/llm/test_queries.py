@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert set(QUERIES) <= set(names) and "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
     assert set(SQL) <= set(__spark_entry__.oracle_sql()) and "pipeline" not in __spark_entry__.oracle_sql()
 
