@@ -97,7 +97,7 @@ def got(df):
 @pytest.mark.parametrize("parts", [1, 7])
 def test_query_equals_brute_force(spark, parts):
     rng = random.Random(5)
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + 3 * i, text_of(rng, rng.choice((3, 40, 400)))) for i in range(60)] + [(50, None), (None, "without an id")]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + 3 * i, text_of(rng, rng.choice((3, 40, 400)))) for i in range(60)] + [(50, None), (None, "without an id"), (None, "without an id"), (0, ""), (0, "")]
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     try:
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

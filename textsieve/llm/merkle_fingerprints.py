@@ -21,20 +21,22 @@ from __future__ import annotations
 
 import hashlib
 from base64 import b64encode
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .tables import kept
-
 #: One in so many ends of words, and ends of characters inside unspaced runs, ends a piece.
 WORDS_PER_PIECE = 4
 CHARS_PER_PIECE = 64
+#: Bytes of text that one task reads, about.
+RUN_BYTES = 1 << 26
 #: One in so many paragraphs ends a section.
 PARAGRAPHS_PER_SECTION = 16
 
@@ -240,57 +242,59 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
 
+def run_starts(keys: DataFrame, runs: int) -> list[tuple]:
+    """First key (id is null, id, hash) of each of about ``runs`` runs of equal size, in order: a row for every run."""
+    laid = keys.repartitionByRange(runs, "none", "doc_id", "hash").withColumn("run", F.spark_partition_id())
+    firsts = laid.groupBy("run").agg(F.min(F.struct("none", "doc_id", "hash")).alias("first")).collect()
+    return sorted(tuple(r["first"]) for r in firsts)
+
+
 def against_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document with its fingerprint, that of its edited text, and the likeness to that and to the next document.
 
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``,
     ``changed_pieces`` (pieces of the text that the edited one has not) and ``first_change`` (section, paragraph and
-    piece of the first of them). Texts are sorted by id once and travel once; a task reads its run of them in order and
-    holds two. The last row of a run meets the first row of the next run in a small table of run ends.
+    piece of the first of them). Ids are cut in runs of ``RUN_BYTES`` of text, of which the driver knows the first
+    keys only. Each text travels once to its run, the first one of a run also to the run before (of the first run: to
+    the last). A task reads a run in order and holds two texts.
     """
-    rows = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"))
-    laid = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    extra_names, extra_types = [*_COLUMNS, "run", "side", "text"], [*_TYPES, pa.int64(), pa.string(), pa.string()]
-    blank = (None,) * (len(_COLUMNS) - 1)
+    value = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
+    row_id = docs[f"`{key}`"].cast("long")
+    rows = docs.select(row_id.isNull().alias("none"), F.coalesce(row_id, F.lit(0)).alias("doc_id"), F.xxhash64(value).alias("hash"), value.alias("text"))
+    spark = docs.sparkSession
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    starts = run_starts(rows.drop("text"), max(int(spark.conf.get("spark.sql.shuffle.partitions")), held // RUN_BYTES))
+    if not starts:
+        return spark.createDataFrame([], _RESULT)
+
+    @F.pandas_udf("array<struct<run:int,guest:boolean>>")
+    def places(none: pd.Series, doc_id: pd.Series, hashed: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(none.tolist(), doc_id.tolist(), hashed.tolist(), strict=True):
+            run = bisect_right(starts, row) - 1
+            own = [{"run": run, "guest": False}]
+            out.append([*own, {"run": (run or len(starts)) - 1, "guest": True}] if row == starts[run] else own)
+        return pd.Series(out)
+
+    dealt = rows.withColumn("place", F.explode(places("none", "doc_id", "hash"))).select("place.run", "place.guest", "none", "doc_id", "hash", "text")
+    laid = dealt.repartition(len(starts), "run").sortWithinPartitions("run", "guest", "none", "doc_id", "hash")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        run = TaskContext.get().partitionId()
-
-        def found() -> Iterator[tuple]:
-            before = None
-            for batch in batches:
-                for doc_id, value in zip(batch.column(0), batch.column(1), strict=True):
-                    value = value.as_py()
-                    mark = fingerprint(value)
-                    if before is None:
-                        yield (doc_id.as_py(), *blank, run, "first", value)
-                    else:
-                        yield (*_row(*before, value, mark), run, None, None)
-                    before = (doc_id.as_py(), value, mark)
-            if before is not None:
-                yield (before[0], *blank, run, "last", before[1])
-
-        yield from _batches(found(), extra_names, extra_types)
-
-    table = kept(laid.mapInArrow(go, f"{_RESULT}, run long, side string, text string"), "fingerprints")
-    # first and last rows of the runs, one of each a run: the last one meets the first of the next run, at the end that of run 0
-    ends = table.where(F.col("side").isNotNull()).select("run", "side", "doc_id", "text")
-    runs = kept(ends.where("side = 'first'").select("run"), "runs")
-    order = {r["run"]: k for k, r in enumerate(runs.orderBy("run").collect())}
-    following = docs.sparkSession.createDataFrame([(a, b) for a, b in zip(sorted(order), [*sorted(order)[1:], *sorted(order)[:1]], strict=True)], "run long, following long")
-    last = ends.where("side = 'last'").select("run", "doc_id", "text").join(following, "run")
-    met = last.join(ends.where("side = 'first'").select(F.col("run").alias("following"), F.col("text").alias("next_text")), "following")
-
-    def at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple]:
+            before, at = None, None
             for batch in batches:
-                for doc_id, one, two in zip(*batch.columns, strict=True):
-                    one, two = one.as_py(), two.as_py()
-                    yield _row(doc_id.as_py(), one, fingerprint(one), two, fingerprint(two))
+                for run, guest, none, doc_id, body in zip(*batch.columns, strict=True):
+                    run, guest = run.as_py(), guest.as_py()
+                    if run != at:
+                        before, at = None, run
+                    elif before is None:
+                        continue  # equal first rows are all guests; one is enough
+                    body = body.as_py()
+                    mark = fingerprint(body)
+                    if before is not None:
+                        yield _row(*before, body, mark)
+                    before = None if guest else (None if none.as_py() else doc_id.as_py(), body, mark)
 
         yield from _batches(found(), _COLUMNS, _TYPES)
 
-    bounds = met.select("doc_id", "text", "next_text").mapInArrow(at_ends, _RESULT)
-    return table.where(F.col("side").isNull()).select(*_COLUMNS).unionByName(bounds)
+    return laid.select("run", "guest", "none", "doc_id", "text").mapInArrow(go, _RESULT)
