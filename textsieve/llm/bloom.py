@@ -28,12 +28,14 @@ def build(df: DataFrame, column: str, bits: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def opened(packed: np.ndarray) -> np.ndarray:
-    """One boolean per bit."""
-    return np.unpackbits(packed, bitorder="little").astype(bool)
+def holds(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the bits at these places are set; the filter stays packed, eight bits a byte."""
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def passes(hashes: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Which hashes the opened filter lets pass."""
-    a, b = places(hashes, len(seen))
-    return seen[a] & seen[b]
+def passes(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass."""
+    a, b = places(hashes, len(packed) * 8)
+    found = holds(packed, a)
+    found[found] = holds(packed, b[found])
+    return found

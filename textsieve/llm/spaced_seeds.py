@@ -92,7 +92,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text:
     longest = max(map(len, MASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = bloom.opened(shared.value)
+        seen = shared.value
         for batch in batches:
             out: list[tuple] = []
             for found in words(batch.column(2)):
@@ -101,8 +101,8 @@ def document_hits(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text:
                 for which, mask in enumerate(MASKS):
                     values = seed_hashes(found.hashes, mask, which)
                     a, b = bloom.places(values, bits)
-                    k = np.flatnonzero(seen[a])
-                    k = k[seen[b[k]]]
+                    k = np.flatnonzero(bloom.holds(seen, a))
+                    k = k[bloom.holds(seen, b[k])]
                     k = k[row_of[k] == row_of[k + len(mask) - 1]]
                     at.append(k)
                     hashes.append(values[k])

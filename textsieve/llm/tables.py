@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,18 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         time.sleep(0.2)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is written inside, for rows that hold long arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns whose names an operator is about to add; compares as Spark does, without case."""
     lower = {n.lower() for n in names}

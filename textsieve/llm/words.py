@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; longer texts are handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd: it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
