@@ -15,6 +15,10 @@ from ..session import cut_lineage
 
 HOT_TERMS = 20_000
 SLACK = 1e-9
+#: Rows of a hot key that meet as many rows of the other side in one task.
+BLOCK = 512
+#: Parts of a vector whose lengths bound a cosine before the terms of a pair are compared.
+CELLS = 256
 
 
 def term_counts(df: DataFrame, identity: str, terms: Column) -> DataFrame:
@@ -106,6 +110,71 @@ def cosine_of_pairs(
     return met.groupBy(left_id, right_id).agg(F.sum(F.col("_lw") * F.col("_rw")).alias("cosine"))
 
 
+def leading_index(vectors: DataFrame, identity: str, threshold: float, *carry: str) -> DataFrame:
+    """Leading terms of every vector with the lengths that bound what they leave out."""
+    return leading_terms(vectors, identity, threshold).select(identity, *carry, "term", "weight", "after", "rest")
+
+
+def meet(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, block: int = BLOCK) -> DataFrame:
+    """Inner join of two indexes on ``keys``, a hot key shared by many tasks.
+
+    The rows of a key are cut into blocks of about ``block`` rows on either side, by a hash of the id, and every block
+    of one side meets every block of the other: a key of n and m rows becomes n * m / block ** 2 keys. Keys that
+    only one side has are dropped before. Columns of the right side other than the keys must have names of their own.
+    """
+    n_left = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_lb"))
+    n_right = right.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_rb"))
+    sizes = n_left.join(n_right, keys)
+
+    def dealt(df: DataFrame, identity: str, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(identity), F.col(own)).cast("int").alias(own_block)
+        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_block)
+        return df.join(sizes, keys).select(*df.columns, place, copies)
+
+    one = dealt(left, left_id, "_lb", "_rb", "_i", "_j")
+    two = dealt(right, right_id, "_rb", "_lb", "_j", "_i")
+    return one.join(two, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def possible_pairs(met: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
+    """Pairs whose cosine can still reach the threshold, from the leading terms they share.
+
+    Shared terms up to the last shared leading term are all counted. Later ones lie beyond the
+    leading terms of one side (length ``rest``) and beyond that term on the other (``after``).
+    """
+    seen = met.groupBy(left_id, right_id).agg(
+        F.sum(F.col("weight") * F.col("_weight2")).alias("_part"),
+        F.min("after").alias("_a"),
+        F.min("_after2").alias("_a2"),
+        F.min("rest").alias("_r"),
+        F.min("_rest2").alias("_r2"),
+    )
+    unseen = F.greatest(F.col("_r") * F.col("_a2"), F.col("_r2") * F.col("_a"))
+    return seen.where(F.col("_part") + unseen >= threshold - SLACK).select(left_id, right_id)
+
+
+def signatures(vectors: DataFrame, identity: str, out: str, cells: int = CELLS) -> DataFrame:
+    """``id`` and ``out``: the lengths of a vector's parts, its terms being dealt into ``cells`` parts by hash."""
+    cell = F.pmod(F.xxhash64("term"), F.lit(cells)).cast("int")
+    square = F.sum(F.col("weight") * F.col("weight"))
+    parts = vectors.groupBy(identity, cell.alias("_cell")).agg(F.sqrt(square).alias("_length"))
+    held = parts.groupBy(identity).agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_length"))).alias("_parts"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.coalesce(F.try_element_at("_parts", c), F.lit(0.0)))
+    return held.select(identity, dense.alias(out))
+
+
+def within_signatures(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, threshold: float) -> DataFrame:
+    """Pairs that the lengths of their parts still allow: a cosine is at most the sum of products of these lengths."""
+    met = pairs.join(signatures(left, left_id, "_s"), left_id).join(signatures(right, right_id, "_s2"), right_id)
+    most = F.aggregate(F.zip_with("_s", "_s2", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return met.where(most >= threshold - SLACK).select(left_id, right_id)
+
+
+def other_side(index: DataFrame, renamed: dict[str, str]) -> DataFrame:
+    """An index under the names that ``possible_pairs`` expects of the right side."""
+    return index.withColumnsRenamed({"weight": "_weight2", "after": "_after2", "rest": "_rest2", **renamed})
+
+
 def near_copies(
     rows: DataFrame,
     references: DataFrame,
@@ -115,14 +184,14 @@ def near_copies(
     reference_terms: Column,
     threshold: float = 0.8,
     fit_on_rows: bool = True,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Pairs ``(id, reference_id, cosine)`` at or above the threshold, exactly.
 
-    Document frequencies come from rows and references, or from the references alone. References
-    are the small side: Spark broadcasts their leading terms when their bytes allow it, rows
-    that share none of them are never compared, and only rows with a candidate get full vectors.
-    The vocabulary, the reference vectors and the candidate pairs are each written once, so the
-    rows are read three times in all: frequencies, candidates, vectors of candidates.
+    Document frequencies come from rows and references, or from the references alone. Only rows that have a leading
+    term of some reference get vectors, written once. Both sides are indexed by their leading terms: a pair that shares
+    none of these cannot reach the threshold, and of the pairs that meet, those stay candidates whose shared part and
+    remaining lengths allow it, and after that the lengths of hashed parts of both vectors. A term that many rows and references have is shared by many tasks.
     """
     row_counts = term_counts(rows, identity, row_terms)
     ref_counts = term_counts(references, reference_id, reference_terms)
@@ -133,15 +202,27 @@ def near_copies(
         terms = with_idf(vocabulary(ref_counts), row_total(references))
     terms = cut_lineage(terms)
     ref_vectors = cut_lineage(tfidf(ref_counts, reference_id, terms))
-    lead = leading_terms(ref_vectors, reference_id, threshold).select("term", reference_id)
-    pairs = row_counts.select(identity, "term").join(lead, "term")
-    pairs = cut_lineage(pairs.select(identity, reference_id).distinct())
-    chosen = rows.join(pairs.select(identity).distinct(), identity, "left_semi")
-    vectors = tfidf(term_counts(chosen, identity, row_terms), identity, terms)
+    lead = cut_lineage(leading_index(ref_vectors, reference_id, threshold))
+    seen = row_counts.select(identity, "term").join(lead.select("term").distinct(), "term", "left_semi")
+    chosen = rows.join(seen.select(identity).distinct(), identity, "left_semi")
+    vectors = cut_lineage(tfidf(term_counts(chosen, identity, row_terms), identity, terms))
+    pairs = cut_lineage(candidate_pairs(vectors, ref_vectors, identity, reference_id, threshold, block, lead))
     scored = cosine_of_pairs(pairs, vectors, ref_vectors, identity, reference_id)
     return scored.where(F.col("cosine") >= threshold)
 
 
+def candidate_pairs(
+    vectors: DataFrame, references: DataFrame, identity: str, reference_id: str, threshold: float,
+    block: int = BLOCK, lead: DataFrame | None = None,
+) -> DataFrame:
+    """Pairs of vectors that may reach the threshold: by shared leading terms, then by the lengths of their parts."""
+    index = cut_lineage(leading_index(vectors, identity, threshold))
+    lead = leading_index(references, reference_id, threshold) if lead is None else lead
+    met = meet(index, other_side(lead, {}), ["term"], identity, reference_id, block)
+    pairs = cut_lineage(possible_pairs(met, identity, reference_id, threshold))
+    return within_signatures(pairs, vectors, references, identity, reference_id, threshold)
+
+
 def decontaminate(rows: DataFrame, copies: DataFrame, identity: str) -> DataFrame:
     """Rows without a near copy among the references; rows that share no term with any stay."""
     return rows.join(copies.select(identity).distinct(), identity, "left_anti")

@@ -9,8 +9,10 @@ from ...functions import text as tx
 from ...operators import neardup
 from ...operators import scaling as sc
 from ...operators import tfidf as tf
-from ...sources.tables import documents, table
+from ...plans.second_test import second_test as collect_second_test
+from ...sources.tables import documents, labelled, labels, published, table
 from . import sql_parts as q
+from .filter_queries import CUTOFFS
 from .registry import query
 from .window_queries import LOG_ODDS_SQL, log_odds
 
@@ -223,6 +225,51 @@ def drop_near_copies(spark, d):
     return docs.select("doc_id", "source").join(kept, "doc_id", "left_semi")
 
 
+#: Kept items of the limited class per feed; the feeds of these tables are short.
+FEED_LIMIT = 10
+
+
+@query(
+    "second_test",
+    "J7 J6 F2 F4 F6 F8 J3 L1",
+    f"""WITH RECURSIVE {q.LABELS}, link AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS link FROM pages),
+    items AS (SELECT d.doc_id, d.source, l.label, d.text, e.ts, k.link FROM documents d JOIN labels_t l USING (doc_id) JOIN events e ON e.event_id = d.doc_id
+              LEFT JOIN link k ON k.page_id = d.doc_id),
+    recent AS (SELECT * FROM items WHERE ts >= CASE WHEN label = 'fake' THEN TIMESTAMP '2024-01-05 00:00:00' ELSE TIMESTAMP '2024-01-10 00:00:00' END
+               AND (link IS NULL OR link NOT IN (SELECT k.link FROM link k WHERE k.page_id NOT IN (SELECT doc_id FROM labels)))),
+    listed AS (SELECT *, {q.word_count('text')} < CASE WHEN label = 'fake' THEN 20 ELSE 30 END AS short FROM recent
+               WHERE link IS NULL OR doc_id IN (SELECT min(doc_id) FROM recent GROUP BY link)),
+    refs_t AS (SELECT item_id, unnest({q.tokens('text')}) AS term FROM benchmark),
+    bc AS (SELECT item_id, term, count(*) AS tf FROM refs_t GROUP BY ALL),
+    v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM bc GROUP BY term),
+    bw AS (SELECT item_id, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY item_id)) AS w FROM bc JOIN v USING (term)),
+    it AS (SELECT doc_id, unnest({q.tokens('text')}) AS term FROM listed WHERE NOT short),
+    ic AS (SELECT doc_id, term, count(*) AS tf FROM it GROUP BY ALL),
+    w AS (SELECT doc_id, source, label, ts, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY doc_id)) AS w
+          FROM ic JOIN v USING (term) JOIN listed USING (doc_id)),
+    known AS (SELECT DISTINCT doc_id FROM (SELECT w.doc_id, bw.item_id FROM w JOIN bw USING (term) GROUP BY ALL HAVING sum(w.w * bw.w) >= 0.8)),
+    pairs AS (SELECT a.doc_id, b.doc_id AS other FROM w a JOIN w b ON a.source = b.source AND a.label = b.label AND a.term = b.term
+              AND (b.ts > a.ts OR (b.ts = a.ts AND b.doc_id < a.doc_id)) GROUP BY ALL HAVING sum(a.w * b.w) >= 0.8),
+    near AS (SELECT doc_id, list(other) AS before FROM pairs GROUP BY doc_id),
+    ranked AS (SELECT l.doc_id, l.source, l.label, l.short, l.doc_id IN (SELECT doc_id FROM known) AS known, coalesce(n.before, []) AS before,
+               row_number() OVER (PARTITION BY l.source, l.label ORDER BY l.ts DESC, l.doc_id) AS rn FROM listed l LEFT JOIN near n USING (doc_id)),
+    walk AS (SELECT source, label, 0::BIGINT AS rn, []::BIGINT[] AS kept, 0::BIGINT AS doc_id, NULL::VARCHAR AS reason FROM (SELECT DISTINCT source, label FROM ranked)
+             UNION ALL SELECT k.source, k.label, r.rn, CASE WHEN r.short OR list_has_any(r.before, k.kept) OR r.known THEN k.kept ELSE list_append(k.kept, r.doc_id) END,
+                r.doc_id, CASE WHEN r.short THEN 'abaixo do mínimo de palavras'
+                    WHEN list_has_any(r.before, k.kept) THEN 'quase idêntico a outro item do teste 2 (texto-modelo/repetido)'
+                    WHEN r.known THEN 'quase idêntico a texto do corpus ou do teste 1' END
+             FROM walk k JOIN ranked r ON r.source = k.source AND r.label = k.label AND r.rn = k.rn + 1
+             WHERE k.label = 'fake' OR len(k.kept) < {FEED_LIMIT})
+    SELECT doc_id, source, label, reason FROM walk WHERE rn > 0""",
+)
+def second_test(spark, d):
+    links = table(spark, d, "pages", "page_id", "url").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("link"))
+    items = labelled(spark, d).join(published(spark, d), "doc_id").join(links.withColumnRenamed("page_id", "doc_id"), "doc_id", "left")
+    used = links.join(labels(spark, d).select(F.col("doc_id").alias("page_id")), "page_id", "left_anti")
+    references = table(spark, d, "benchmark", "item_id", "text")
+    return collect_second_test(items, used, references, "doc_id", "item_id", CUTOFFS, FEED_LIMIT)
+
+
 @query(
     "term_coefficients",
     "J10",
