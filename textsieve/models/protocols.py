@@ -18,6 +18,7 @@ from ..operators import groups as gr
 from ..operators import metrics as me
 from ..operators.scaling import standardize
 from ..operators.splits import grouped_folds
+from ..session import cut_lineage
 from . import training as tr
 from .blend import blend_scores
 from .specs import Spec, TextBlock, grid
@@ -53,12 +54,14 @@ def with_folds(rows: DataFrame, group: str, label: str, k: int, seed: int = 42)
 def out_of_fold(rows: DataFrame, spec: Spec, identity: str, k: int, mixed: bool = False) -> DataFrame:
     """``(id, fold, label, score, predicted)`` where every row is scored by a model that never saw its group.
 
-    ``rows`` carry a ``fold`` column. The assigned folds are persisted while the k models are fitted.
+    ``rows`` carry a ``fold`` column and are written once. Vocabularies and idf of all k training sides come from one
+    scan of the texts, by subtracting the counts of the held-out fold.
     """
-    rows = rows.persist()
+    rows = cut_lineage(rows)
+    stages = tr.fold_stages(rows, spec, "fold", mixed)
 
     def one(fold: int) -> DataFrame:
-        model = tr.train(rows.where(F.col("fold") != fold), spec, mixed)
+        model = tr.train(rows.where(F.col("fold") != fold), spec, mixed, stages=stages.get(fold))
         held = rows.where(F.col("fold") == fold)
         return tr.score(model, held, words=None).select(identity, "fold", "label", "score", "predicted")
 

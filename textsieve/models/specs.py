@@ -70,12 +70,13 @@ class Spec:
     balanced: bool = True
     max_iter: int = 300
 
+    def outputs(self) -> list[str]:
+        """Names of the blocks' vectors."""
+        return ["features"] if len(self.blocks) == 1 else [f"block{i}" for i in range(len(self.blocks))]
+
     def stages(self, text: str = "text") -> list:
-        if len(self.blocks) == 1:
-            return self.blocks[0].stages(text, "features")
-        names = [f"block{i}" for i in range(len(self.blocks))]
-        out = [s for name, block in zip(names, self.blocks) for s in block.stages(text, name)]
-        return [*out, VectorAssembler(inputCols=names, outputCol="features")]
+        out = [s for name, block in zip(self.outputs(), self.blocks) for s in block.stages(text, name)]
+        return out if len(self.blocks) == 1 else [*out, VectorAssembler(inputCols=self.outputs(), outputCol="features")]
 
 
 WORDS = TextBlock()

@@ -94,12 +94,15 @@ class TfidfEstimator(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        grams, out = self.getInputCol(), self.getOutputCol()
+        grams = self.getInputCol()
         limit = self.getOrDefault(self.maxFeatures) or MAX_WIDTH + 1
         counted = dataset.select(F.explode(ngrams.run_lengths(F.col(grams))).alias("c")).select("c.*")
-        terms = tf.vocabulary(counted, limit, self.getOrDefault(self.minDF))
-        n = float(dataset.count())
-        weight = F.log((1.0 + F.lit(n)) / (1.0 + F.col("df"))) + 1.0
+        return self.of_terms(tf.vocabulary(counted, limit, self.getOrDefault(self.minDF)), dataset.count())
+
+    def of_terms(self, terms, n_rows: int) -> PipelineModel:
+        """The fitted stages for a chosen vocabulary ``(term, df)`` of ``n_rows`` texts."""
+        grams, out = self.getInputCol(), self.getOutputCol()
+        weight = F.log((1.0 + F.lit(float(n_rows))) / (1.0 + F.col("df"))) + 1.0
         chosen = terms.select(F.array("term").alias(grams), weight.alias("idf")).persist()
         try:
             # The chosen terms alone are the input, so all of them are kept and numbered in the JVM.

@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from ..functions.text import first_words, score_to_label
 from ..operators import tfidf as tf
 from ..operators.explain import word_contributions
+from ..operators.folds import fold_vocabularies
 from ..operators.groups import cut_lengths
 from .specs import Spec
-from .stages import GramTokenizer
+from .stages import MAX_WIDTH, GramTokenizer, TfidfEstimator
 
 PRODUCT_WORDS = 50
 MIXED_LENGTHS = (30, 50, 100)
@@ -46,14 +47,19 @@ def classifier(spec: Spec, total_weight: float):
     return LogisticRegression(**common) if spec.classifier == "logreg" else LinearSVC(**common)
 
 
-def train(rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", label: str = "label") -> PipelineModel:
-    """Fit a model; ``mixed`` lets every text in three times, cut at 30, 50 and 100 words."""
+def train(
+    rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", label: str = "label", stages: list | None = None
+) -> PipelineModel:
+    """Fit a model; ``mixed`` lets every text in three times, cut at 30, 50 and 100 words.
+
+    ``stages`` may hold the feature stages of ``spec``, some of them fitted before.
+    """
     used = rows.select(*[c for c in rows.columns if c in {text, label, "embedding"}])
     used = cut_lengths(used, text, MIXED_LENGTHS) if mixed else used
     ready, total = prepared(used, spec.balanced, label)
     ready = ready.persist()
     try:
-        features = Pipeline(stages=spec.stages(text)).fit(ready)
+        features = Pipeline(stages=stages or spec.stages(text)).fit(ready)
         learned = learning_rows(features.transform(ready)).persist()
         try:
             return PipelineModel([*features.stages, fitted(classifier(spec, total), learned)])
@@ -63,6 +69,27 @@ def train(rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", l
         ready.unpersist()
 
 
+def fold_stages(rows: DataFrame, spec: Spec, fold: str, mixed: bool = True, text: str = "text") -> dict[int, list]:
+    """Feature stages for every training side of a cross-validation, by fold; TF-IDF blocks are fitted already.
+
+    The texts are read once for each TF-IDF block, for all folds together (``fold_vocabularies``).
+    """
+    used = rows.select(fold, text)
+    used = cut_lengths(used, text, MIXED_LENGTHS) if mixed else used
+    stages = spec.stages(text)
+    known: dict[int, dict[int, PipelineModel]] = {}
+    for at, stage in enumerate(stages):
+        if isinstance(stage, TfidfEstimator):
+            grams = next(s for s in stages if isinstance(s, GramTokenizer) and s.getOutputCol() == stage.getInputCol())
+            limit = stage.getOrDefault(stage.maxFeatures) or MAX_WIDTH + 1
+            terms, sizes = fold_vocabularies(grams.transform(used), fold, F.col(stage.getInputCol()), limit, stage.getOrDefault(stage.minDF))
+            terms = terms.persist()
+            known[at] = {f: stage.of_terms(terms.where(F.col("fold") == f), n) for f, n in sizes.items()}
+            terms.unpersist()
+    folds = {f for models in known.values() for f in models}
+    return {f: [known[at][f] if at in known else stage for at, stage in enumerate(stages)] for f in folds}
+
+
 def learning_rows(df: DataFrame) -> DataFrame:
     """Columns of the classifier; rows stay in the partitions they are in."""
     return df.select("features", "_y", "_w")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions import text as tx
-from ...functions.ngrams import char_ngrams
+from ...functions.ngrams import char_ngrams, word_ngrams
 from ...models import protocols as pr
 from ...models import specs as sp
 from ...models import training as tr
 from ...operators import explain as ex
 from ...operators import groups as gr
 from ...operators import tfidf as tf
+from ...operators.folds import fold_vocabularies
 from ...operators.splits import grouped_folds, random_split
 from ...session import shared_dir
 from ...sources.tables import documents, labelled, labels, table
@@ -99,6 +100,27 @@ def grouped_folds_of_documents(spark, d):
     return named.select("source", "fold", "n_rows", "groups_in_fold")
 
 
+@query(
+    "fold_idf",
+    "M8 M9 V4 V6",
+    f"""WITH {q.CORPUS},
+        g AS (SELECT source, floor(10 * (count(*) FILTER (label = 'fake')) / greatest(count(*) FILTER (label IN ('fake', 'true')), 1)) AS share,
+              count(*) AS size, {hash_sql(42, 'source')} AS h FROM corpus GROUP BY source),
+        f AS (SELECT source, ((row_number() OVER (ORDER BY share, size DESC, h, source) - 1) % 5)::INTEGER AS fold FROM g),
+        side AS (SELECT k.fold, c.doc_id, c.text FROM corpus c JOIN f USING (source) JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold),
+        t AS (SELECT fold, doc_id, {q.tokens('text')} AS t FROM side),
+        gram AS (SELECT fold, doc_id, unnest(t || {q.word_bigrams('t')}) AS term FROM t),
+        counts AS (SELECT fold, term, count(DISTINCT doc_id)::BIGINT AS df, count(*)::BIGINT AS total FROM gram GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2),
+        n AS (SELECT fold, count(*) AS n FROM side GROUP BY fold),
+        top AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY total DESC, term) AS place FROM counts)
+        SELECT fold, term, df, total, round(ln((1.0 + n.n) / (1.0 + df)) + 1, 6) AS idf FROM top JOIN n USING (fold) WHERE place <= 5000""",
+)
+def fold_idf(spark, d):
+    rows = pr.with_folds(labelled(spark, d), "source", "label", 5)
+    terms, _ = fold_vocabularies(rows, "fold", word_ngrams("text", 1, 2), max_features=5000, min_df=2)
+    return terms.select("fold", "term", "df", "total", F.round("idf", 6).alias("idf"))
+
+
 @query("words_folds", "M8")
 def words_folds(spark, d):
     return pr.cross_validate(labelled(spark, d), sp.PLAIN, "doc_id", "source")
