@@ -158,14 +158,12 @@ def fold_mean_and_spread(spark, d):
 @query(
     "votes_per_text",
     "A13",
-    """WITH v AS (SELECT vec_id, unnest([embedding[1], embedding[2], embedding[3]])::DOUBLE AS s FROM embeddings)
+    """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS s FROM embeddings)
        SELECT vec_id, count(*) FILTER (s >= 0)::BIGINT AS votes_true, count(*) FILTER (s < 0)::BIGINT AS votes_fake
        FROM v GROUP BY vec_id""",
 )
 def votes_per_text(spark, d):
-    votes = table(spark, d, "embeddings", "vec_id", "embedding").select(
-        "vec_id", F.explode(F.slice("embedding", 1, 3)).alias("s")
-    )
+    votes = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.explode("embedding").alias("s"))
     vote = tx.score_to_label(F.col("s").cast("double"))
     return votes.groupBy("vec_id").agg(
         F.count_if(vote == "true").alias("votes_true"), F.count_if(vote == "fake").alias("votes_fake")
