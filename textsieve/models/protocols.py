@@ -205,10 +205,10 @@ def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_
         parts = []
         for name, c in points:
             point = Spec((block,), c=c, balanced=False, max_iter=max_iter)
-            fitted = tr.classifier(point, total).fit(learned)
+            model = tr.fitted(tr.classifier(point, total), learned)
             margin = vector_to_array("rawPrediction")[1]
             parts.append(
-                fitted.transform(seen).select(
+                model.transform(seen).select(
                     "label", score_to_label(margin).alias("predicted"), F.lit(name).alias("repr"), F.lit(c).alias("c"),
                     F.lit(block.min_df).alias("min_df"), F.lit(block.sublinear).alias("sublinear"),
                 )
