@@ -89,3 +89,31 @@ def test_stream_scores_like_a_table(spark, rows, chosen, tmp_path):
     ).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {r.predicted for r in spark.table("scored_lines").collect()} == {"fake", "true"}
+
+
+def test_shared_features_give_the_models_of_single_fits(rows):
+    """Models that share one feature table score like models fitted alone, also when scored side by side."""
+    specs = {"one": sp.PLAIN, "ten": sp.Spec(c=10.0, balanced=False), "logistic": sp.Spec(classifier="logreg", balanced=False)}
+    models = pr.train_all(rows, specs)
+    assert len({tuple(s.uid for s in m.stages[:-1]) for m in models.values()}) == 1
+    together = {(r.id, r.method): r.score for r in tr.score_many(models, rows).collect()}
+    assert len(together) == 120
+    for name, spec in specs.items():
+        alone = tr.score(tr.train(rows, spec), rows).collect()
+        assert all(abs(together[r.id, name] - r.score) < 1e-6 for r in alone)
+
+
+def test_grid_on_unseen_sources(rows):
+    """No source on both sides; sizes counted ahead equal those of the fitted models; means over settings."""
+    train_rows, test_rows = pr.unseen_sources(rows)
+    seen, held = ({r.source for r in side.select("source").distinct().collect()} for side in (train_rows, test_rows))
+    assert seen and held and not seen & held and seen | held == {f"s{i}" for i in range(4)}
+    settings = [s for s in sp.grid() if s[0] in ("word (1,1)", "char_wb (3,5)") and not s[1].sublinear and s[2] != 10.0]
+    measured = pr.grid_search(train_rows, test_rows, settings)
+    got = {(r.repr, r.c, r.min_df, r.sublinear): r for r in measured.collect()}
+    sizes = {(r.repr, r.c, r.min_df, r.sublinear): r.n_features for r in pr.grid_sizes(train_rows, settings).collect()}
+    assert len(got) == 8 and {k: r.n_features for k, r in got.items()} == sizes
+    found = {(r.setting, r.value): r for r in pr.by_setting(measured).collect()}
+    ones = [r.bal_acc for k, r in got.items() if k[1] == 1.0]
+    assert found["c", "1.0"].n == 4 and found["c", "1.0"].best == max(ones)
+    assert math.isclose(found["c", "1.0"].mean, sum(ones) / 4)

@@ -21,7 +21,7 @@ from ..operators.splits import grouped_folds
 from ..session import cut_lineage
 from . import training as tr
 from .blend import blend_scores
-from .specs import Spec, TextBlock, grid
+from .specs import Spec, grid
 
 PARALLEL_FITS = 8
 
@@ -80,17 +80,30 @@ def cross_validate(rows: DataFrame, spec: Spec, identity: str, group: str, k: in
     )
 
 
+def train_all(rows: DataFrame, specs: dict[str, Spec], mixed: bool = True) -> dict[str, PipelineModel]:
+    """A model for every spec. Specs with equal blocks and class weights share one feature table.
+
+    Feature tables are built first, then all classifiers are fitted, both as jobs side by side.
+    """
+    shared: dict[tuple, list[str]] = {}
+    for name, spec in specs.items():
+        shared.setdefault((spec.blocks, spec.balanced), []).append(name)
+    tables = in_parallel(lambda n=names[0]: tr.learned_features(rows, specs[n], mixed) for names in shared.values())
+    of_name = {name: made for names, made in zip(shared.values(), tables) for name in names}
+
+    def one(name: str) -> PipelineModel:
+        features, learned, total = of_name[name]
+        return PipelineModel([*features.stages, tr.fitted(tr.classifier(specs[name], total), learned)])
+
+    return dict(zip(specs, in_parallel(lambda n=n: one(n) for n in specs)))
+
+
 def compare(
     train_rows: DataFrame, test_rows: DataFrame, specs: dict[str, Spec], mixed: bool = True, study: str = ""
 ) -> DataFrame:
     """Every spec trained on the same rows and measured on the same test rows."""
-
-    def one(name: str, spec: Spec) -> DataFrame:
-        scored = tr.score(tr.train(train_rows, spec, mixed), test_rows)
-        return scored.select("label", "predicted", "source", F.lit(name).alias("experiment"))
-
-    frames = in_parallel(lambda n=n, s=s: one(n, s) for n, s in specs.items())
-    return me.evaluate(union_all(frames), ["experiment"]).withColumn("study", F.lit(study))
+    scored = tr.score_many(train_all(train_rows, specs, mixed), test_rows)
+    return me.evaluate(scored.withColumnRenamed("method", "experiment"), ["experiment"]).withColumn("study", F.lit(study))
 
 
 def data_study(
@@ -187,43 +200,59 @@ def hybrid(train_rows: DataFrame, test_rows: DataFrame, specs: Sequence[Spec], i
     return rows, [float(w) for w in stack.coefficients]
 
 
-def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None, max_iter: int = 100) -> DataFrame:
-    """Test metrics of every setting. Features are built once per representation and shared over C."""
-    from pyspark.ml import Pipeline
+def unseen_sources(rows: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows without a source in common: one grouped fold of k is held out."""
+    folded = with_folds(rows, "source", "label", k)
+    return folded.where("fold <> 0").drop("fold"), folded.where("fold = 0").drop("fold")
+
+
+GRID_KEYS = ["repr", "c", "min_df", "sublinear"]
 
-    settings = settings or grid()
-    by_block: dict[TextBlock, list[tuple[str, float]]] = {}
-    for name, block, c in settings:
-        by_block.setdefault(block, []).append((name, c))
-
-    def one(block: TextBlock, points) -> DataFrame:
-        spec = Spec((block,), balanced=False, max_iter=max_iter)
-        ready, total = tr.prepared(train_rows, spec.balanced)
-        vectorizer = Pipeline(stages=spec.stages()).fit(ready)
-        learned = tr.learning_rows(vectorizer.transform(ready)).persist()
-        seen = vectorizer.transform(test_rows).select("label", "features")
-        parts = []
-        for name, c in points:
-            point = Spec((block,), c=c, balanced=False, max_iter=max_iter)
-            model = tr.fitted(tr.classifier(point, total), learned)
-            margin = vector_to_array("rawPrediction")[1]
-            parts.append(
-                model.transform(seen).select(
-                    "label", score_to_label(margin).alias("predicted"), F.lit(name).alias("repr"), F.lit(c).alias("c"),
-                    F.lit(block.min_df).alias("min_df"), F.lit(block.sublinear).alias("sublinear"),
-                )
-            )
-        learned.unpersist()
-        return union_all(parts)
 
-    frames = in_parallel(lambda b=b, p=p: one(b, p) for b, p in by_block.items())
-    return me.evaluate(union_all(frames), ["repr", "c", "min_df", "sublinear"])
+def grid_search(train_rows: DataFrame, test_rows: DataFrame, settings=None) -> DataFrame:
+    """Test metrics and number of features of every setting; features are built once per representation, for all C."""
+    settings = settings or grid()
+    specs = {str(i): Spec((block,), c=c, balanced=False) for i, (_, block, c) in enumerate(settings)}
+    models = train_all(train_rows, specs, mixed=False)
+    points = [
+        (str(i), name, c, block.min_df, block.sublinear, models[str(i)].stages[-1].numFeatures)
+        for i, (name, block, c) in enumerate(settings)
+    ]
+    schema = "method string, repr string, c double, min_df int, sublinear boolean, n_features long"
+    measured = me.evaluate(tr.score_many(models, test_rows, words=None), ["method"])
+    return train_rows.sparkSession.createDataFrame(points, schema).join(measured, "method").drop("method")
+
+
+def grid_sizes(rows: DataFrame, settings=None) -> DataFrame:
+    """Every setting with the number of features its training rows give it, counted once per representation."""
+    settings = settings or grid()
+    sizes = []
+    for name, block in {name: block for name, block, _ in settings}.items():
+        grams = block.stages("text", "_of")[0].transform(rows)
+        terms = grams.select(F.explode(F.array_distinct("_of_grams")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        known = [
+            F.struct(F.lit(m).alias("min_df"), F.count_if(F.col("df") >= m).alias("n"))
+            for m in sorted({b.min_df for n, b, _ in settings if n == name})
+        ]
+        sizes.append(terms.agg(F.array(*known).alias("sizes")).select(F.lit(name).alias("repr"), F.inline("sizes")))
+    points = [(name, c, block.min_df, block.sublinear, block.max_features) for name, block, c in settings]
+    frame = rows.sparkSession.createDataFrame(points, "repr string, c double, min_df int, sublinear boolean, most long")
+    return frame.join(union_all(sizes), ["repr", "min_df"]).select(*GRID_KEYS, F.least("n", "most").alias("n_features"))
+
+
+def by_setting(measured: DataFrame, metric: str = "bal_acc", keys: Sequence[str] = GRID_KEYS) -> DataFrame:
+    """Mean and best of a metric for every value of every grid key: ``(setting, value, n, mean, best)``."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("setting"), F.col(k).cast("string").alias("value")) for k in keys])
+    long = measured.select(F.explode(pairs).alias("p"), metric).select("p.*", metric)
+    return long.groupBy("setting", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(metric).alias("mean"), F.max(metric).alias("best")
+    )
 
 
 def freeze(rows: DataFrame, methods: dict[str, Spec], folder: str) -> list[str]:
     """Train and save every method. No test table is read here."""
-    names = list(methods)
-    return in_parallel(lambda n=n: tr.save(tr.train(rows, methods[n]), folder, names, n) for n in names)
+    names, models = list(methods), train_all(rows, methods)
+    return in_parallel(lambda n=n: tr.save(models[n], folder, names, n) for n in names)
 
 
 def evaluate_frozen(tests: DataFrame, names: Sequence[str], folder: str, overall: str = "all") -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ from ..operators import tfidf as tf
 from ..operators.explain import word_contributions
 from ..operators.folds import fold_vocabularies
 from ..operators.groups import cut_lengths
+from ..session import cut_lineage
 from .specs import Spec
 from .stages import MAX_WIDTH, GramTokenizer, TfidfEstimator
 
@@ -47,12 +48,13 @@ def classifier(spec: Spec, total_weight: float):
     return LogisticRegression(**common) if spec.classifier == "logreg" else LinearSVC(**common)
 
 
-def train(
+def learned_features(
     rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", label: str = "label", stages: list | None = None
-) -> PipelineModel:
-    """Fit a model; ``mixed`` lets every text in three times, cut at 30, 50 and 100 words.
+) -> tuple[PipelineModel, DataFrame, float]:
+    """Fitted feature stages of ``spec``, the table its classifier learns from, and the sum of weights.
 
-    ``stages`` may hold the feature stages of ``spec``, some of them fitted before.
+    A solver reads that table a few hundred times, every time in a Spark job. It is therefore written once, to the
+    shared folder, in even partitions of the size that adaptive execution advises; a lost executor reads it again.
     """
     used = rows.select(*[c for c in rows.columns if c in {text, label, "embedding"}])
     used = cut_lengths(used, text, MIXED_LENGTHS) if mixed else used
@@ -60,15 +62,22 @@ def train(
     ready = ready.persist()
     try:
         features = Pipeline(stages=stages or spec.stages(text)).fit(ready)
-        learned = learning_rows(features.transform(ready)).persist()
-        try:
-            return PipelineModel([*features.stages, fitted(classifier(spec, total), learned)])
-        finally:
-            learned.unpersist()
+        return features, cut_lineage(learning_rows(features.transform(ready))), total
     finally:
         ready.unpersist()
 
 
+def train(
+    rows: DataFrame, spec: Spec, mixed: bool = True, text: str = "text", label: str = "label", stages: list | None = None
+) -> PipelineModel:
+    """Fit a model; ``mixed`` lets every text in three times, cut at 30, 50 and 100 words.
+
+    ``stages`` may hold the feature stages of ``spec``, some of them fitted before.
+    """
+    features, learned, total = learned_features(rows, spec, mixed, text, label, stages)
+    return PipelineModel([*features.stages, fitted(classifier(spec, total), learned)])
+
+
 def fold_stages(rows: DataFrame, spec: Spec, fold: str, mixed: bool = True, text: str = "text") -> dict[int, list]:
     """Feature stages for every training side of a cross-validation, by fold; TF-IDF blocks are fitted already.
 
@@ -91,8 +100,8 @@ def fold_stages(rows: DataFrame, spec: Spec, fold: str, mixed: bool = True, text
 
 
 def learning_rows(df: DataFrame) -> DataFrame:
-    """Columns of the classifier; rows stay in the partitions they are in."""
-    return df.select("features", "_y", "_w")
+    """Columns of the classifier, in even partitions whose number adaptive execution chooses by bytes."""
+    return df.select("features", "_y", "_w").hint("rebalance")
 
 
 def fitted(learner, rows: DataFrame):
@@ -114,11 +123,31 @@ def score(model: PipelineModel, rows: DataFrame, text: str = "text", words: int
     )
 
 
-def score_many(models: dict[str, PipelineModel], rows: DataFrame, text: str = "text") -> DataFrame:
-    """Predictions of several models side by side in long form."""
-    out = None
+def score_many(
+    models: dict[str, PipelineModel], rows: DataFrame, text: str = "text", words: int | None = PRODUCT_WORDS
+) -> DataFrame:
+    """Predictions of several models side by side in long form: columns of ``rows``, score, predicted, method.
+
+    Models that were fitted on the same feature table (``train_all``) read the rows and build the features once.
+    """
+    read = rows.withColumn(text, first_words(text, words)) if words else rows
+    shared: dict[tuple, list[str]] = {}
     for name, model in models.items():
-        part = score(model, rows, text).withColumn("method", F.lit(name))
+        shared.setdefault(tuple(stage.uid for stage in model.stages[:-1]), []).append(name)
+    out = None
+    for names in shared.values():
+        seen = PipelineModel(models[names[0]].stages[:-1]).transform(read)
+        scores = []
+        for i, name in enumerate(names):
+            last = models[name].stages[-1].copy()
+            last.setRawPredictionCol(f"_raw{i}").setPredictionCol(f"_predicted{i}")
+            if last.hasParam("probabilityCol"):
+                last.setProbabilityCol(f"_probability{i}")
+            seen = last.transform(seen)
+            scores.append(F.struct(vector_to_array(f"_raw{i}")[1].alias("score"), F.lit(name).alias("method")))
+        part = seen.select(*rows.columns, F.explode(F.array(*scores)).alias("_s")).select(
+            *rows.columns, "_s.score", score_to_label("_s.score").alias("predicted"), "_s.method"
+        )
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -236,7 +236,27 @@ def candidate_training_set(spark, d):
 
 @query("hyperparameter_grid", "M18 J9")
 def hyperparameter_grid(spark, d):
-    return pr.grid_search(*split_rows(spark, d))
+    return pr.grid_search(*pr.unseen_sources(labelled(spark, d)))
+
+
+@query(
+    "grid_features",
+    "M18 J9 V4",
+    f"""WITH {q.CORPUS},
+        g AS (SELECT source, floor(10 * (count(*) FILTER (label = 'fake')) / greatest(count(*) FILTER (label IN ('fake', 'true')), 1)) AS share,
+              count(*) AS size, {hash_sql(42, 'source')} AS h FROM corpus GROUP BY source),
+        f AS (SELECT source, (row_number() OVER (ORDER BY share, size DESC, h, source) - 1) % 3 AS fold FROM g),
+        t AS (SELECT doc_id, lower(text) AS text, {q.tokens('text')} AS t FROM corpus JOIN f USING (source) WHERE fold <> 0),
+        l AS (SELECT doc_id, t, t || {q.word_bigrams('t')} AS two, {q.char_grams('text', 3, 5)} AS chars FROM t),
+        gram AS (SELECT 'word (1,1)' AS repr, doc_id, unnest(t) AS term FROM l UNION ALL SELECT 'word (1,2)', doc_id, unnest(two) FROM l
+              UNION ALL SELECT 'word (1,3)', doc_id, unnest(two || list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM l
+              UNION ALL SELECT 'char_wb (3,5)', doc_id, unnest(chars) FROM l),
+        df AS (SELECT repr, term, count(DISTINCT doc_id) AS df FROM gram GROUP BY ALL),
+        m AS (SELECT unnest([1, 3])::INTEGER AS min_df), sizes AS (SELECT repr, min_df, least(count(*), 50000)::BIGINT AS n_features FROM df JOIN m ON df >= min_df GROUP BY ALL)
+        SELECT repr, c, min_df, sublinear, n_features FROM sizes, (SELECT unnest([0.1, 1, 10])::DOUBLE AS c), (SELECT unnest([false, true]) AS sublinear)""",
+)
+def grid_features(spark, d):
+    return pr.grid_sizes(pr.unseen_sources(labelled(spark, d))[0])
 
 
 @query("embedding_logistic", "M19 V15")
