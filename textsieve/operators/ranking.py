@@ -1,8 +1,8 @@
 """Exact picks and ranks that never pull a whole group, or the whole table, into one task.
 
-A plain ``row_number`` over a group sorts the group in a single task. Here a histogram over a
-fixed number of buckets finds the one bucket in which the border falls; only the rows of that
-bucket are sorted. The result is the same as that of the plain window.
+A plain ``row_number`` over a group sorts the group in a single task. Here a histogram finds the bucket
+in which the border falls, and is refined there until few rows are left; only those are sorted. The
+result is the same as that of the plain window.
 """
 
 from __future__ import annotations
@@ -11,10 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+from .groups import join_null_safe
+
 BUCKETS = 4096
 HASH_DIGITS = 12
+#: Rows of a bucket that one task may sort.
+OPEN_ROWS = 100_000
 
 
 def hash_key(seed: int | str, identity) -> Column:
@@ -24,6 +30,48 @@ def hash_key(seed: int | str, identity) -> Column:
     return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
 
 
+def at_rank(
+    rows: DataFrame, groups: Sequence[str], value: str, wanted: DataFrame, buckets: int = BUCKETS, most: int = OPEN_ROWS
+) -> DataFrame:
+    """Value at given ranks of every group, however unevenly its values lie.
+
+    ``rows`` hold the groups and a long or finite double without nulls; ``wanted`` the groups and ``_rank``, from 1 up to
+    the group's size. A histogram of the interval that holds the rank is taken again and again, each time of the bucket
+    found before, until that bucket holds ``most`` rows or a single value; so neither outliers nor a value shared by
+    many rows leave a large bucket to sort. Returns groups, ``_rank``, ``_at`` and ``_rest``, the number of rows equal to
+    ``_at`` among the first ``_rank``. Null groups are groups.
+    """
+    groups = list(groups)
+    per = W.partitionBy(*groups, "_rank")
+
+    def gap(high: Column, low: Column) -> Column:
+        if isinstance(rows.schema[value].dataType, T.DoubleType):
+            return high / 2 - low / 2
+        return (high.cast("decimal(20,0)") - low.cast("decimal(20,0)")).cast("double")
+
+    def narrowed(state: DataFrame, bucket: Column) -> DataFrame:
+        """The bucket of every open interval in which its rank falls."""
+        inside = join_null_safe(rows, state, groups).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+        filled = inside.groupBy(*groups, "_rank", bucket.alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.first("_rest").alias("_rest")
+        )
+        before = filled.withColumn("_before", F.sum("_n").over(per.orderBy("_bucket")) - F.col("_n"))
+        rest = F.col("_rest") - F.col("_before")
+        return before.where((rest > 0) & (rest <= F.col("_n"))).select(
+            *groups, "_rank", rest.alias("_rest"), "_lo", "_hi", "_n"
+        )
+
+    ends = rows.groupBy(*groups).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    state = join_null_safe(wanted.withColumn("_rest", F.col("_rank")), ends, groups)
+    several = F.col("_lo") < F.col("_hi")
+    large = several & (F.col("_n") > most)
+    share = F.floor(gap(F.col(value), F.col("_lo")) / gap(F.col("_hi"), F.col("_lo")) * buckets)
+    while state.where(large).limit(1).count():
+        state = cut_lineage(state.where(~large).unionByName(narrowed(state.where(large), share)))
+    found = state.where(~several).unionByName(narrowed(state.where(several), F.col(value)))
+    return found.select(*groups, "_rank", F.col("_lo").alias("_at"), "_rest")
+
+
 def mark_first(
     df: DataFrame,
     groups: Sequence[str],
@@ -32,53 +80,47 @@ def mark_first(
     quota: Column,
     flag: str = "chosen",
     buckets: int = BUCKETS,
+    most: int = OPEN_ROWS,
 ) -> DataFrame:
     """Flag the first ``quota`` rows of every group in the order ``(key nulls last, tie)``.
 
-    ``key`` is a long; ``quota`` is an expression over ``group_size``. Rows with a null key are
-    bucketed by ``tie``, a numeric unique id. Rows with a null group are kept and not flagged.
+    ``key`` is a long; ``quota`` is an expression over ``group_size``; ``tie`` is an integer id. The border row of a group
+    is found on keys and ties alone: the key at the rank, then the tie among rows of that key. Whole rows only
+    meet one border per group. Repeated rows of one id count one by one. Rows with a null group are kept and not flagged.
     """
     groups = list(groups)
-    rows = df.withColumn("_key", key)
-    per_group = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("group_size"),
-        F.min("_key").alias("_lo"),
-        F.max("_key").alias("_hi"),
-        F.min(tie).alias("_tie_lo"),
-        F.max(tie).alias("_tie_hi"),
-    )
-    per_group = per_group.withColumn("_quota", quota.cast("long"))
-
-    def position(value: str, lo: str, hi: str) -> Column:
-        span = F.col(hi).cast("double") - F.col(lo) + 1.0
-        return F.floor((F.col(value).cast("double") - F.col(lo)) / span * buckets)
-
-    # Rows without a key come after all others; where every key is the same, the tie decides alone.
-    bucket = (
-        F.when(F.col("_key").isNull(), buckets + position(tie, "_tie_lo", "_tie_hi"))
-        .when(F.col("_lo") == F.col("_hi"), position(tie, "_tie_lo", "_tie_hi"))
-        .otherwise(position("_key", "_lo", "_hi"))
-    )
-    placed = rows.join(per_group, groups, "left").withColumn("_bucket", bucket)
-    filled = placed.groupBy(*groups, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_quota").alias("_quota")
-    )
-    upto = F.sum("_n").over(W.partitionBy(*groups).orderBy("_bucket"))
-    border = (
-        filled.withColumn("_before", upto - F.col("_n"))
-        .where((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
-        .select(*groups, F.col("_bucket").alias("_edge"), (F.col("_quota") - F.col("_before")).alias("_rest"))
-    )
-    sided = placed.drop("_lo", "_hi", "_tie_lo", "_tie_hi").join(border, groups, "left")
-    whole = F.col("_quota") >= F.col("group_size")
-    settled = sided.where(F.col("_edge").isNull() | (F.col("_bucket") != F.col("_edge"))).withColumn(
-        flag, F.coalesce(whole, F.lit(False)) | F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(False))
-    )
-    order = W.partitionBy(*groups).orderBy(F.col("_key").asc_nulls_last(), F.col(tie))
-    open_rows = sided.where(F.col("_bucket") == F.col("_edge")).withColumn(
-        flag, F.row_number().over(order) <= F.col("_rest")
+    rows = df.withColumns({"_key": key, "_tie": F.coalesce(F.col(tie).cast("long"), F.lit(-(2**63)))})
+    narrow = rows.select(*groups, "_key", "_tie").dropna(subset=groups).persist()
+    try:
+        sizes = narrow.groupBy(*groups).agg(F.count(F.lit(1)).alias("group_size"), F.count("_key").alias("_keyed"))
+        sizes = sizes.withColumn("_quota", quota.cast("long"))
+        cut = sizes.where((F.col("_quota") > 0) & (F.col("_quota") < F.col("group_size")))
+        wanted = cut.where(F.col("_quota") <= F.col("_keyed")).select(*groups, F.col("_quota").alias("_rank"))
+        keys = at_rank(narrow.where(F.col("_key").isNotNull()).drop("_tie"), groups, "_key", wanted, buckets, most)
+        unkeyed = cut.where(F.col("_quota") > F.col("_keyed")).select(
+            *groups, F.lit(None).cast("long").alias("_at"), (F.col("_quota") - F.col("_keyed")).alias("_rest")
+        )
+        edges = cut_lineage(keys.select(*groups, "_at", "_rest").unionByName(unkeyed))
+        level = join_null_safe(narrow, edges, groups).where(F.col("_key").eqNullSafe(F.col("_at"))).select(*groups, "_tie")
+        ties = at_rank(level, groups, "_tie", edges.select(*groups, F.col("_rest").alias("_rank")), buckets, most)
+        ties = ties.select(*groups, F.col("_at").alias("_tie_at"), F.col("_rest").alias("_last"))
+        whole = (F.col("_quota") >= F.col("group_size")).alias("_whole")
+        borders = cut_lineage(
+            sizes.select(*groups, whole).join(edges.drop("_rest"), groups, "left").join(ties, groups, "left")
+        )
+    finally:
+        narrow.unpersist()
+    placed = rows.join(borders, groups, "left")
+    same_key = F.col("_key").eqNullSafe(F.col("_at")) & F.col("_tie_at").isNotNull()
+    on_border = same_key & (F.col("_tie") == F.col("_tie_at"))
+    earlier = F.when(F.col("_at").isNull(), F.col("_key").isNotNull()).otherwise(F.col("_key") < F.col("_at"))
+    before = F.col("_tie_at").isNotNull() & (earlier | (same_key & (F.col("_tie") < F.col("_tie_at"))))
+    settled = placed.where(~F.coalesce(on_border, F.lit(False))).withColumn(
+        flag, F.coalesce(F.col("_whole"), F.lit(False)) | F.coalesce(before, F.lit(False))
     )
-    return settled.unionByName(open_rows).select(*df.columns, flag)
+    repeats = W.partitionBy(*groups).orderBy("_tie")
+    border_rows = placed.where(on_border).withColumn(flag, F.row_number().over(repeats) <= F.col("_last"))
+    return settled.unionByName(border_rows).select(*df.columns, flag)
 
 
 def take_seeded(df: DataFrame, identity: str, n: Column, seed: int = 42) -> DataFrame:
