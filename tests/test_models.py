@@ -117,3 +117,38 @@ def test_grid_on_unseen_sources(rows):
     ones = [r.bal_acc for k, r in got.items() if k[1] == 1.0]
     assert found["c", "1.0"].n == 4 and found["c", "1.0"].best == max(ones)
     assert math.isclose(found["c", "1.0"].mean, sum(ones) / 4)
+
+
+def test_fits_side_by_side_share_no_cache(spark, rows):
+    """Equal plans share one cache entry: a fit that drops it takes the blocks from under the others."""
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs().keys())
+    dropped = []
+    unpersist = type(rows).unpersist
+    type(rows).unpersist = lambda df, *a: dropped.append(df) or unpersist(df, *a)
+    try:
+        numbers = sp.Numbers("pct")
+        models = pr.train_all(rows, {"a": sp.Spec(max_iter=3), "b": sp.Spec((sp.WORDS, numbers), max_iter=3), "c": sp.Spec((numbers,), max_iter=3)})
+    finally:
+        type(rows).unpersist = unpersist
+    assert len(models) == 3 and not dropped
+    assert kept >= set(spark.sparkContext._jsc.getPersistentRDDs().keys())
+
+
+def test_learning_tables_are_even_and_bare(rows):
+    """Partitions are bounded by the cores, and no cell's name travels with the vectors."""
+    many = rows.repartition(400)
+    texts = tr.learning_texts(many)
+    assert texts.rdd.getNumPartitions() == 1 and texts.count() == 120
+    spec = sp.Spec((sp.WORDS, sp.Numbers("pct")), max_iter=3)
+    _, table, total = tr.learned_features(texts, spec)
+    assert table.schema["features"].metadata == {} and total == 120
+
+
+def test_blocks_that_differ_in_damping_share_a_vocabulary(rows):
+    from dataclasses import replace
+
+    specs = [sp.BASE, sp.Spec((replace(sp.WORDS, sublinear=True), sp.Numbers("pct")))]
+    plain, damped = tr.shared_stages(tr.learning_texts(rows), specs)
+    one, two = plain[1].stages[0], damped[1].stages[0]
+    assert one.vocabulary == two.vocabulary and len(damped[1].stages) == len(plain[1].stages) + 1
+    assert (one.getOutputCol(), two.getOutputCol()) == ("features_counts", "block0_counts")
