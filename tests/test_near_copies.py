@@ -149,3 +149,30 @@ def test_second_test_equals_a_plain_reading(spark, seed):
     assert min(Counter(r[3] for r in want)[x] for x in (None, fx.REASON_SHORT, fx.REASON_REPEATED, fx.REASON_KNOWN)) >= 2
     empty = st.second_test(df.limit(0), links, references, "id", "ref", cutoffs)
     assert empty.count() == 0
+
+
+def test_cosine_joins_leave_no_table_behind(spark):
+    """Counts, vectors and indexes are freed; texts are read once, and what is left does not grow with the rows."""
+    import os
+
+    from textsieve.session import shared_dir
+
+    left = lambda: {f for f in os.listdir(shared_dir(spark)) if f.startswith("written-")}
+    before, toks = left(), word_tokens("text")
+    texts = make_texts(40, 5)
+    df = frame(spark, texts).withColumn("g", F.lit("a"))
+    refs = frame(spark, {100 + i: texts[i] for i in range(5)}).withColumnRenamed("id", "ref")
+    pairs = tf.near_copies(df, refs, "id", "ref", toks, toks, 0.6)
+    assert left() == before and pairs.count() >= 5
+    neardup.drop_near_copies(df, "id", "g", F.col("id"), toks, fitted(df)).count()
+    assert left() == before
+
+
+def test_vectors_carry_their_bounds(spark):
+    texts = make_texts(30, 5)
+    df = frame(spark, texts)
+    own = tf.tfidf(tf.term_counts(df, "id", word_tokens("text")), "id", fitted(df))
+    carried = tf.leading_bounds(own, "id", 0.6)
+    key = lambda rows: sorted((r.id, r.term, r.weight, r.after, r.rest) for r in rows)
+    assert carried.count() == own.count()
+    assert key(tf.leading_index(carried, "id", 0.6).collect()) == key(tf.leading_index(own, "id", 0.6).collect())
