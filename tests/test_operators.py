@@ -264,3 +264,12 @@ def test_character_references(spark):
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "t string, want string")
     for r in df.select("want", pg.unescape(F.col("t")).alias("got")).collect():
         assert r["got"] == r["want"]
+
+
+def test_contributions_read_the_texts_a_few_times_only(spark, folder):
+    """Every scan and broadcast of the plan costs the driver: there were 29 scans and 19 broadcasts."""
+    from textsieve.plans.catalog import all_queries
+
+    plan = all_queries()["word_contributions"].run(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("FileScan") <= 8 and initial.count("BroadcastExchange") <= 4
