@@ -145,3 +145,13 @@ def test_entity_masking_joins_spaces(spark):
 def test_leak_guard():
     with pytest.raises(ValueError):
         tx.assert_no_leaks(["text", "author"])
+
+
+@pytest.mark.parametrize("name", ["mask_by_lexicon", "mask_by_annotation", "style_ratios"])
+def test_tokens_are_made_once(spark, folder, name):
+    from textsieve.plans.catalog import all_queries
+
+    plan = all_queries()[name].run(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("regexp_extract_all" in line for line in filters)

@@ -197,7 +197,8 @@ _IN = {n: "(" + ", ".join(f"'{w}'" for w in ws) + ")" for n, ws in (("o", OUTLET
 
 def annotated(spark, d):
     token = rf"{tx.WORD_CHAR}+|[^\p{{L}}\p{{N}}_\s]"
-    docs = documents(spark, d, "doc_id", "text")
+    # a test of the text itself: one on the tokens would be pushed to the scan, and the tokens made twice
+    docs = documents(spark, d, "doc_id", "text").where(F.col("text").rlike(token))
 
     def annotate(t):
         size = F.length(t)
@@ -260,7 +261,7 @@ def _level(n: int) -> str:
         FROM e GROUP BY doc_id""",
 )
 def mask_by_lexicon(spark, d):
-    rows = annotated(spark, d).where(F.size("tokens") > 0)
+    rows = annotated(spark, d)
     return rows.select(
         "doc_id",
         F.md5(mk.mask_level("tokens", 0, OUTLETS, TIMES)).alias("level_a"),
@@ -278,7 +279,7 @@ def mask_by_lexicon(spark, d):
         md5(string_agg(pos, ' ' ORDER BY i)) AS level_g FROM e GROUP BY doc_id""",
 )
 def mask_by_annotation(spark, d):
-    rows = annotated(spark, d).where(F.size("tokens") > 0)
+    rows = annotated(spark, d)
     return rows.select(
         "doc_id",
         F.md5(mk.mask_level("tokens", 1)).alias("level_b"),
@@ -302,6 +303,6 @@ def _pct(cond: str, name: str) -> str:
         FROM e JOIN (SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}]')) AS n FROM documents) a USING (doc_id) GROUP BY e.doc_id""",
 )
 def style_ratios(spark, d):
-    rows = annotated(spark, d).where(F.size("tokens") > 0)
+    rows = annotated(spark, d)
     flat = rows.select("doc_id", mk.style_ratios("tokens", "text").alias("s")).select("doc_id", "s.*")
     return flat.select("doc_id", *[F.round(c, 6).alias(c) for c in flat.columns[1:]])
