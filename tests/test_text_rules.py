@@ -147,6 +147,29 @@ def test_leak_guard():
         tx.assert_no_leaks(["text", "author"])
 
 
+def test_grams_of_short_and_long_words(spark):
+    def plain(text, lo, hi):
+        padded = [f" {w} " for w in text.lower().split()]
+        return [w[i : i + n] for w in padded for n in range(lo, max(lo, min(hi, len(w))) + 1) for i in range(max(len(w) - n + 1, 1))]
+
+    rows = ["a Bc " + "x1é😀" * 9 + " fim", "q" * 22 + " " + "q" * 23, "", "  "]
+    for lo, hi in ((2, 5), (3, 5), (5, 5), (2, 30)):
+        assert values(spark, rows, ngrams.char_ngrams("a", lo, hi)) == [plain(t, lo, hi) for t in rows]
+    assert values(spark, [None], ngrams.char_ngrams("a")) == [None]
+
+
+def test_grams_are_copied_twice_at_most(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("a")).select(ngrams.char_ngrams("a"))
+    plan = plan._jdf.queryExecution().analyzed().toString()
+    at, depth, levels = plan.index("substring("), 0, 0
+    for i in range(at - 1, -1, -1):
+        depth += {")": -1, "(": 1}.get(plan[i], 0)
+        if depth == 1:
+            levels += plan[: i].endswith("lambdafunction")
+            depth = 0
+    assert levels == 2
+
+
 @pytest.mark.parametrize("name", ["mask_by_lexicon", "mask_by_annotation", "style_ratios"])
 def test_tokens_are_made_once(spark, folder, name):
     from textsieve.plans.catalog import all_queries
