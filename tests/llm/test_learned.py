@@ -115,3 +115,16 @@ def test_classifier_learns_from_all_grams(spark, monkeypatch):
         ids = np.concatenate([quality_model.gram_ids(w, settings)[1] for w in words(pa.array([text]))])
         want, times = np.unique(ids, return_counts=True)
         assert [(i.tolist(), c.tolist()) for i, c, y in seen if y == label] == [(want.tolist(), times.tolist())]
+
+
+def test_sample_reaches_the_driver_packed(spark, monkeypatch):
+    """What the driver gets of the sample is far less than two numbers of four bytes a gram, and opens to the same rows."""
+    got, seen = [], []
+    docs = spark.createDataFrame([(i, " ".join(f"word{i * k % 997}" for k in range(3000))) for i in range(40)], "doc_id long, text string")
+    arrow = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: got.append(arrow(df)) or got[-1])
+    monkeypatch.setattr(quality_model, "train", lambda rows, settings: seen.extend(rows))
+    quality_model.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))
+    grams = sum(len(ids) for ids, _, _ in seen)
+    assert len(seen) == 40 and grams > 40_000
+    assert 0 < sum(t.nbytes for t in got) < 8 * grams / 2

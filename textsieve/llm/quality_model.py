@@ -6,7 +6,8 @@ equal words is one gram for all words. The biases are the log shares of the labe
 trained together by stochastic gradient descent in numpy, one document at a time.
 
 Fitting is bounded and documented: ``max_rows`` labelled rows, taken by a hash of their key, with all n-grams of
-each, as counts of buckets. So the driver holds at most ``max_rows * buckets`` counts, whatever the corpus. Scoring reads every n-gram of every text: the output is
+each, as counts of buckets. So the driver holds at most ``max_rows * buckets`` counts, whatever the corpus; it gets
+and keeps them packed and opens one row at a time. Scoring reads every n-gram of every text: the output is
 linear in the mean, so each bucket's vector is multiplied by the outputs once and a text costs one table look
 per n-gram.
 
@@ -16,7 +17,8 @@ rows count once each; with labels of one class only, or none, the score is that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -93,13 +95,32 @@ def gram_ids(found: Words, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     return counts, flat
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> Model:
+def packed(ids: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ordered distinct bucket ids, as steps, and their counts, in a few bits each."""
+    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), counts]).astype(np.int32).tobytes(), 1)
+
+
+class PackedRows(Sequence):
+    """Rows of distinct bucket ids, their counts and label, opened when they are asked for."""
+
+    def __init__(self, grams: pa.ChunkedArray, labels: list[int]) -> None:
+        self.grams, self.labels = [x.as_buffer() for x in grams], labels
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        steps, counts = np.split(np.frombuffer(zlib.decompress(self.grams[i]), np.int32), 2)
+        return np.cumsum(steps), counts, self.labels[i]
+
+
+def train(rows: Sequence[tuple[np.ndarray, np.ndarray, int]], settings: Settings) -> Model:
     """Vectors and outputs from rows of distinct bucket ids, their counts and label."""
     rng = np.random.default_rng(settings.seed)
     vectors = np.zeros((settings.buckets, settings.dimensions), dtype=np.float32)
     outputs = rng.normal(0, 1, (settings.dimensions, 2)).astype(np.float32)
     outputs[:, 1] = -outputs[:, 0]
-    ones = sum(label for _, _, label in rows)
+    ones = sum(rows.labels if isinstance(rows, PackedRows) else [label for _, _, label in rows])
     prior = (ones + 0.5) / (len(rows) + 1.0)
     biases = np.array([np.log(1 - prior), np.log(prior)]) if rows else np.zeros(2)
     model = Model(settings, vectors, outputs, biases)
@@ -144,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 ends = np.cumsum(counts)
                 grams = [np.unique(flat[end - n : end], return_counts=True) for end, n in zip(ends, counts, strict=True)]
                 part = batch.slice(found.first, found.last - found.first)
-                ids, times = (pa.array([g[k].astype(np.int32) for g in grams], pa.list_(pa.int32())) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), ids, times], names=["place", "label", "ids", "counts"])
+                ties = pa.array([zlib.crc32(g[1].astype(np.int32), zlib.crc32(g[0].astype(np.int32))) for g in grams], pa.int64())
+                held = pa.array([packed(*g) for g in grams], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), ties, held], names=["place", "label", "tie", "grams"])
 
-    sampled = few.select("text", "place", "label").mapInArrow(sample, "place bigint, label int, ids array<int>, counts array<int>")
-    got = sampled.orderBy("place", F.hash("ids", "counts")).limit(settings.max_rows).toArrow()
-    ids, counts = ([x.values.to_numpy(zero_copy_only=False) for x in got[c]] for c in ("ids", "counts"))
-    return train(list(zip(ids, counts, got["label"].to_pylist(), strict=True)), settings)
+    sampled = few.select("text", "place", "label").mapInArrow(sample, "place bigint, label int, tie bigint, grams binary")
+    got = sampled.orderBy("place", "tie").limit(settings.max_rows).toArrow()
+    return train(PackedRows(got["grams"], got["label"].to_pylist()), settings)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str | Column, ...] = ("doc_id",), into: str = "score") -> DataFrame:
