@@ -29,3 +29,16 @@ def test_terms_of_one_row_do_not_meet(spark):
     later = rows.withColumnRenamed("id", "_other")
     met = {(r.id, r._other) for r in tf.meet(rows, later, ["term"], "id", "_other", least=2).collect()}
     assert met == {(i, j) for i in (1, 2) for j in (1, 2)}
+
+
+def test_word_contributions_leave_one_table(spark, folder):
+    """Weights are written before words meet them; counts, vocabulary and the shuffles behind them are gone by then."""
+    from textsieve.plans.catalog import model_queries as mq
+    from textsieve.session import shared_dir
+
+    tables = lambda: {f for f in os.listdir(shared_dir(spark)) if f.startswith("written-")}
+    swept(spark)
+    had, files = tables(), shuffle_files(spark)
+    shown = mq.word_contributions(spark, folder)
+    assert len(tables() - had) == 1 and not shuffle_files(spark) - files
+    assert shown.count() > 0
